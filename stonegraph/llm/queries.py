@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stonegraph.llm.canonical import meant_labels
 from stonegraph.llm.components import families
 from stonegraph.session import table
 
@@ -14,7 +15,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families(table(spark, sf_dir, "persons"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meant_labels(table(spark, sf_dir, "label_entries"), table(spark, sf_dir, "keeper_coordinates"), table(spark, sf_dir, "wikidata_links"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found}
 
 ORACLES: dict[str, str] = {
     "p4_found": r"""
