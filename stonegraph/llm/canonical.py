@@ -40,7 +40,7 @@ SHORT = [
     (r"\bhist\b", "history"),
     (r"\bdist\b", "district"),
     (r"\bsaint\b", "st"),
-    (r"\b(at|the|and|fo|o|o?[a-z]?f{1,2}[a-z]?)\b", " "),  # with slips in "of"
+    (r"\b(at|the|and|fo|o|o?[a-z]?ff?[a-z]?)\b", " "),  # with slips in "of"
 ]
 
 MOST = 3  #: edits allowed at most
