@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stonegraph.llm.canonical import meant_labels
 from stonegraph.llm.components import families
+from stonegraph.llm.consensus import fit, reading_consensus, reading_votes
 from stonegraph.session import table
 
 
@@ -19,7 +21,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meant_labels(table(spark, sf_dir, "label_entries"), table(spark, sf_dir, "keeper_coordinates"), table(spark, sf_dir, "wikidata_links"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_consensus(table(spark, sf_dir, "readings")).select("ogham_id", "consensus")
+
+
+def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the annotators of each stone agree."""
+    return reading_consensus(table(spark, sf_dir, "readings")).select("ogham_id", F.col("voters").cast("bigint").alias("voters"), F.round("agreement", 6).alias("agreement"))
+
+
+def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each annotator's number of labels, reliability and community."""
+    return fit(reading_votes(table(spark, sf_dir, "readings"))).annotators
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_reliability": p6_reliability}
 
 ORACLES: dict[str, str] = {
     "p4_found": r"""
