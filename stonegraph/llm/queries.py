@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stonegraph.llm.canonical import meant_labels
 from stonegraph.llm.components import families
 from stonegraph.llm.consensus import fit, reading_consensus, reading_votes
+from stonegraph.llm.encode import encode_texts
+from stonegraph.llm.packing import fill_containers
 from stonegraph.session import table
 
 
@@ -35,7 +37,20 @@ def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit(reading_votes(table(spark, sf_dir, "readings"))).annotators
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_reliability": p6_reliability}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+CAPACITY = 2048  #: tokens of byte_bpe_50k
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their containers; sizes are tokens of byte_bpe_50k."""
+    sizes = encode_texts(table(spark, sf_dir, "documents"), lengths_only=True)
+    return fill_containers(sizes, item="doc_id", size="tokens", capacity=CAPACITY).withColumnRenamed("item", "doc_id").withColumnRenamed("size", "tokens")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_reliability": p6_reliability, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 ORACLES: dict[str, str] = {
     "p4_found": r"""
