@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stonegraph.llm.abuse import abusive_documents, source_rates
 from stonegraph.llm.canonical import meant_labels
 from stonegraph.llm.components import families
 from stonegraph.llm.consensus import fit, reading_consensus, reading_votes
@@ -50,7 +51,16 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(sizes, item="doc_id", size="tokens", capacity=CAPACITY).withColumnRenamed("item", "doc_id").withColumnRenamed("size", "tokens")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_reliability": p6_reliability, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abusive_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of abusive documents of each source."""
+    return source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_agreement": p6_agreement, "p6_reliability": p6_reliability, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_rates": p9_rates}
 
 ORACLES: dict[str, str] = {
     "p4_found": r"""
