@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from stonegraph.session import shuffle_partitions
+
 # How values are commonly decorated and shortened.
 ACCENTS = ("áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
 DIGITS = ("015", "ols")  # digits read for letters
@@ -69,7 +71,7 @@ def allowed_sql(n: str) -> str:
 # A list's spellings with their rotations by words, so that "Priory, X" and "X Museum of" are met too.
 SPELLINGS = """
 WITH words AS (SELECT kind, canonical, own, split({norm}, ' ') AS w FROM {spellings} WHERE length({norm}) > 0)
-SELECT kind, form, length(form) AS n, min_by(canonical, struct(own, r, canonical)) AS canonical, min(struct(own, r)) AS rank
+SELECT kind, form, length(form) AS n, min_by(canonical, struct(own, r, canonical)) AS canonical, min(own * 1000 + r) AS rank
 FROM (SELECT kind, canonical, own, r, concat_ws('', slice(w, r + 1, size(w)), slice(w, 1, r)) AS form FROM words LATERAL VIEW explode(sequence(0, size(w) - 1)) AS r)
 GROUP BY kind, form
 """
@@ -98,7 +100,8 @@ SELECT DISTINCT kind, form, m, i, substring(form, at + 1, size) AS segment FROM
 """
 
 MATCHES = """
-WITH met AS (SELECT DISTINCT p.kind, p.form, s.form AS spelling, s.canonical, s.rank, s.k FROM {probes} p JOIN {segments} s ON p.kind = s.kind AND p.m = s.n AND p.i = s.i AND p.segment = s.segment),
+WITH spread AS (SELECT /*+ REPARTITION({parts}, kind, form) */ * FROM {probes}),
+     met AS (SELECT DISTINCT p.kind, p.form, s.form AS spelling, s.canonical, s.rank, s.k FROM spread p JOIN {segments} s ON p.kind = s.kind AND p.m = s.n AND p.i = s.i AND p.segment = s.segment),
      measured AS (SELECT *, levenshtein(form, spelling, k) AS edits FROM met)
 SELECT kind, form, min_by(canonical, struct(edits, rank, canonical)) AS canonical, min(edits) AS edits FROM measured WHERE edits >= 0 GROUP BY kind, form
 """
@@ -137,7 +140,7 @@ def map_values(entries: DataFrame, spellings: DataFrame) -> DataFrame:
     rest = sql(REST, values=values, exact=exact)
     segments = sql(SEGMENTS.replace("{k}", allowed_sql("n")), forms=forms)
     probes = sql(PROBES.replace("{k}", allowed_sql("m")).replace("{most}", str(MOST)), values=rest)
-    near = sql(MATCHES, probes=probes, segments=segments)
+    near = sql(MATCHES.replace("{parts}", str(shuffle_partitions(entries.sparkSession))), probes=probes, segments=segments)
     found = exact.unionByName(near)
     return sql(RESULT.replace("{norm}", norm), entries=typed, found=found)
 
