@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_KM = 6371.0
 COORDINATE = r"(-?\d+(?:\.\d+)?)\s*[,;]\s*(-?\d+(?:\.\d+)?)\s*(.*)$"
@@ -73,60 +76,62 @@ def grid_reference(ref: Column) -> Column:
     return F.when(ok, F.struct(metres(at % 5, east).alias("east"), metres(4 - F.floor(at / 5), north).alias("north")))
 
 
-def transverse_mercator_inverse(east: Column, north: Column, grid: dict, rounds: int = 6) -> Column:
-    """struct(lat, lon) in degrees. The footpoint latitude is refined ``rounds`` times, which is exact to well under a millimetre on these grids; the series after it is the usual one in powers of the easting."""
+def transverse_mercator_inverse(east: np.ndarray, north: np.ndarray, grid: dict, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Latitude and longitude in degrees. The footpoint latitude is refined ``rounds`` times, which is exact to well under a millimetre on these grids; the series after it is the usual one in powers of the easting."""
     a, b = grid["axes"]
-    scale, lat0, lon0 = grid["scale"], math.radians(grid["lat0"]), grid["lon0"]
+    scale, lat0 = grid["scale"], math.radians(grid["lat0"])
     e2, n = 1 - b * b / (a * a), (a - b) / (a + b)
     arc = [1 + n + 1.25 * n**2 + 1.25 * n**3, 3 * n + 3 * n**2 + 2.625 * n**3, 1.875 * (n**2 + n**3), 35 / 24 * n**3]
-
-    def meridian(lat: Column) -> Column:
-        d, s = lat - lat0, lat + lat0
-        return b * scale * (arc[0] * d - arc[1] * F.sin(d) * F.cos(s) + arc[2] * F.sin(2 * d) * F.cos(2 * s) - arc[3] * F.sin(3 * d) * F.cos(3 * s))
-
     y = north - grid["north0"]
-    lats = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), y / (a * scale) + lat0, lambda lat, _: lat + (y - meridian(lat)) / (a * scale))
-    return F.transform(F.array(lats), lambda lat: _series(lat, east - grid["east0"], a * scale, e2, lon0))[0]
-
-
-def _series(lat: Column, d: Column, a: float, e2: float, lon0: float) -> Column:
-    s2 = F.pow(F.sin(lat), 2)
-    nu = a / F.sqrt(1 - e2 * s2)
-    rho = a * (1 - e2) / F.pow(1 - e2 * s2, 1.5)
-    t = F.tan(lat)
-    t2, eta, x = t * t, nu / rho - 1, d / nu
-    north = t * nu / rho * (x * x / 2 - F.pow(x, 4) / 24 * (5 + 3 * t2 + eta - 9 * t2 * eta) + F.pow(x, 6) / 720 * (61 + 90 * t2 + 45 * t2 * t2))
-    along = (x - F.pow(x, 3) / 6 * (nu / rho + 2 * t2) + F.pow(x, 5) / 120 * (5 + 28 * t2 + 24 * t2 * t2) - F.pow(x, 7) / 5040 * (61 + 662 * t2 + 1320 * t2 * t2 + 720 * F.pow(t2, 3))) / F.cos(lat)
-    return F.struct(F.degrees(lat - north).alias("lat"), (F.degrees(along) + lon0).alias("lon"))
-
-
-def datum_shift(point: Column, source: tuple, target: tuple, shift: dict, rounds: int = 8) -> Column:
-    """struct(lat, lon) on the target ellipsoid, by the seven-parameter shift."""
+    lat = y / (a * scale) + lat0
+    for _ in range(rounds):
+        d, s = lat - lat0, lat + lat0
+        meridian = b * scale * (arc[0] * d - arc[1] * np.sin(d) * np.cos(s) + arc[2] * np.sin(2 * d) * np.cos(2 * s) - arc[3] * np.sin(3 * d) * np.cos(3 * s))
+        lat = lat + (y - meridian) / (a * scale)
+    s2, t2 = np.sin(lat) ** 2, np.tan(lat) ** 2
+    nu = a * scale / np.sqrt(1 - e2 * s2)
+    ratio = (1 - e2 * s2) / (1 - e2)  # of the two radii of curvature
+    eta, x = ratio - 1, (east - grid["east0"]) / nu
+    up = np.tan(lat) * ratio * (x**2 / 2 - x**4 / 24 * (5 + 3 * t2 + eta - 9 * t2 * eta) + x**6 / 720 * (61 + 90 * t2 + 45 * t2**2))
+    along = (x - x**3 / 6 * (ratio + 2 * t2) + x**5 / 120 * (5 + 28 * t2 + 24 * t2**2) - x**7 / 5040 * (61 + 662 * t2 + 1320 * t2**2 + 720 * t2**3)) / np.cos(lat)
+    return np.degrees(lat - up), np.degrees(along) + grid["lon0"]
+
+
+def datum_shift(lat: np.ndarray, lon: np.ndarray, source: tuple, target: tuple, shift: dict, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Latitude and longitude on the target ellipsoid, by the seven-parameter shift."""
     (a1, b1), (a2, b2) = source, target
     e1, e2 = 1 - b1 * b1 / (a1 * a1), 1 - b2 * b2 / (a2 * a2)
-    lat, lon = F.radians(point["lat"]), F.radians(point["lon"])
-    nu = a1 / F.sqrt(1 - e1 * F.pow(F.sin(lat), 2))
-    x, y, z = nu * F.cos(lat) * F.cos(lon), nu * F.cos(lat) * F.sin(lon), (1 - e1) * nu * F.sin(lat)
-    (tx, ty, tz), (rx, ry, rz), k = shift["t"], (math.radians(r / 3600) for r in shift["r"]), 1 + shift["ppm"] / 1e6
-    x2, y2, z2 = tx + k * x - rz * y + ry * z, ty + rz * x + k * y - rx * z, tz - ry * x + rx * y + k * z
-    p = F.hypot(x2, y2)
+    lat, lon = np.radians(lat), np.radians(lon)
+    nu = a1 / np.sqrt(1 - e1 * np.sin(lat) ** 2)
+    old = np.stack([nu * np.cos(lat) * np.cos(lon), nu * np.cos(lat) * np.sin(lon), (1 - e1) * nu * np.sin(lat)])
+    (rx, ry, rz), k = (math.radians(r / 3600) for r in shift["r"]), 1 + shift["ppm"] / 1e6
+    x, y, z = np.array([[k, -rz, ry], [rz, k, -rx], [-ry, rx, k]]) @ old + np.array(shift["t"])[:, None]
+    p = np.hypot(x, y)
+    at = np.arctan2(z, p * (1 - e2))
+    for _ in range(rounds):
+        at = np.arctan2(z + e2 * a2 / np.sqrt(1 - e2 * np.sin(at) ** 2) * np.sin(at), p)
+    return np.degrees(at), np.degrees(np.arctan2(y, x))
 
-    def refine(at: Column, _: Column) -> Column:
-        return F.atan2(z2 + e2 * a2 / F.sqrt(1 - e2 * F.pow(F.sin(at), 2)) * F.sin(at), p)
 
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.atan2(z2, p * (1 - e2)), refine)
-    return F.struct(F.degrees(at).alias("lat"), F.degrees(F.atan2(y2, x2)).alias("lon"))
+POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
 
 
-def itm_to_wgs84(east: Column, north: Column) -> Column:
-    return transverse_mercator_inverse(east, north, ITM)
+@F.pandas_udf(POINT)
+def itm_to_wgs84(east: pd.Series, north: pd.Series) -> pd.DataFrame:
+    lat, lon = transverse_mercator_inverse(east.to_numpy(float), north.to_numpy(float), ITM)
+    return pd.DataFrame({"lat": lat, "lon": lon})
 
 
-def irish_grid_to_wgs84(ref: Column) -> Column:
-    def shifted(p: Column) -> Column:
-        return datum_shift(transverse_mercator_inverse(p["east"], p["north"], IRISH_GRID), AIRY_MODIFIED, GRS80, IRELAND_1965_SHIFT)
+@F.pandas_udf(POINT)
+def _irish_grid(east: pd.Series, north: pd.Series) -> pd.DataFrame:
+    lat, lon = datum_shift(*transverse_mercator_inverse(east.to_numpy(float), north.to_numpy(float), IRISH_GRID), AIRY_MODIFIED, GRS80, IRELAND_1965_SHIFT)
+    return pd.DataFrame({"lat": lat, "lon": lon})
 
-    return F.transform(F.array(grid_reference(ref)), lambda p: F.when(p.isNotNull(), shifted(p)))[0]
+
+def irish_grid_to_wgs84(ref: Column) -> Column:
+    """struct(lat, lon) of a reference's square; of nulls if it isn't one."""
+    square = grid_reference(ref)
+    return _irish_grid(square["east"], square["north"])
 
 
 def hex_cell(lon: Column, lat: Column, stretch: Column, size: float) -> Column:

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 PLACE_LEVELS = ["building", "graveyard", "ecclesiastical_site", "site", "lake", "townland", "civil_parish", "parish", "town", "city", "sheading", "county", "region", "island", "historical", "country"]
@@ -85,6 +86,11 @@ def normalise_reading(c: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(t, "[^A-Za-z]+", " ")))
 
 
+def plain_letters(c: Column) -> Column:
+    """Letters in capitals and single blanks; all else is dropped and parts no words."""
+    return F.upper(collapse(F.regexp_replace(strip_marks(F.coalesce(c, F.lit(""))), r"[^A-Za-z\s]", "")))
+
+
 def split_script(c: Column) -> Column:
     """struct(script, text): a leading ``Ogham:``, ``Roman:`` or ``Latin:`` taken off."""
     head = F.regexp_extract(c, r"(?i)^\s*(Ogham|Roman|Latin)\s*:\s*", 1)
@@ -185,7 +191,7 @@ def highlight(text: Column, word: Column, before: str = "<b>", after: str = "</b
     return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.lit(before), word, F.lit(after), F.substr(text, at + F.length(word)))).otherwise(text)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all, by longest matching blocks (with the usual rule on popular characters in long texts); 1 for two empty texts. The order of the two matters."""
     seen: dict = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,17 +61,22 @@ def lint(df: DataFrame, *, key: str, complaints: dict[str, Column]) -> DataFrame
     return df.select(F.col(key), F.explode(found).alias("complaint"))
 
 
-def compare_readings(pairs: DataFrame, *, current: str, other: str, formula: list[str]) -> DataFrame:
-    """Adds to pairs of texts: both normalised, what is only in either, formula words gained and lost, similarity (3 digits, half even) and its band."""
-    a, b = text.normalise_reading(F.col(current)), text.normalise_reading(F.col(other))
-    known = F.array(*map(F.lit, formula)) if formula else F.array().cast("array<string>")
-    d = pairs.withColumn("current_norm", a).withColumn("other_norm", b).withColumn("_a", text.words(F.col("current_norm"))).withColumn("_b", text.words(F.col("other_norm")))
-    ratio = text.similarity_ratio(F.col("current_norm"), F.col("other_norm"))
-    d = d.withColumn("_r", ratio)
-    has_a, has_b = F.array_intersect("_a", known), F.array_intersect("_b", known)
+def compare_readings(pairs: DataFrame, *, current: str, other: str, formula: dict[str, list[str]], normalise: Callable[[Column], Column] = text.normalise_reading) -> DataFrame:
+    """Adds to pairs of texts: both normalised, what is only in either, formula words gained and lost, similarity (3 digits, half even) and its band.
+
+    ``formula`` has, for each spelling, the formula words it stands for.
+    """
+    known = F.create_map(*(x for k, v in formula.items() for x in (F.lit(k), F.array(*map(F.lit, v))))) if formula else F.create_map().cast("map<string,array<string>>")
+    d = pairs.withColumn("current_norm", normalise(F.col(current))).withColumn("other_norm", normalise(F.col(other)))
+    d = d.withColumn("_a", text.words(F.col("current_norm"))).withColumn("_b", text.words(F.col("other_norm"))).withColumn("_r", text.similarity_ratio(F.col("current_norm"), F.col("other_norm")))
+
+    def meant(tokens: str) -> Column:
+        return F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), F.array().cast("array<string>"))))
+
+    d = d.withColumn("_fa", meant("_a")).withColumn("_fb", meant("_b"))
     return d.select(
         *pairs.columns, "current_norm", "other_norm", text.only_in(F.col("_a"), F.col("_b")).alias("only_current"), text.only_in(F.col("_b"), F.col("_a")).alias("only_other"),
-        F.array_sort(F.array_except(has_b, has_a)).alias("gained"), F.array_sort(F.array_except(has_a, has_b)).alias("lost"), F.bround("_r", 3).alias("ratio"), text.band(F.col("_r")).alias("ratio_band"),
+        F.array_sort(F.array_except("_fb", "_fa")).alias("gained"), F.array_sort(F.array_except("_fa", "_fb")).alias("lost"), F.bround("_r", 3).alias("ratio"), text.band(F.col("_r")).alias("ratio_band"),
     )
 
 
