@@ -29,9 +29,10 @@ def partitions_for(df: DataFrame, bytes_each: int = 48 << 20, expansion: float =
     ``expansion`` is the ratio of the bytes held in a task to the bytes the
     optimizer estimates (compressed files, for a scan).
     """
-    spark = df.sparkSession
-    wanted = math.ceil(plan_bytes(df) * expansion / bytes_each)
-    return max(shuffle_partitions(spark), min(wanted, 1_000_000))
+    spark, size = df.sparkSession, plan_bytes(df)
+    if size > 1 << 50:  # Catalyst doesn't know: data from the driver or from a checkpoint, or a join
+        return max(shuffle_partitions(spark), df.rdd.getNumPartitions())
+    return max(shuffle_partitions(spark), math.ceil(size * expansion / bytes_each))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
