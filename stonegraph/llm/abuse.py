@@ -54,7 +54,7 @@ SEED_PLAIN = """
 the stone is broken and the face is badly worn | a killing is said to have taken place here | the blow of a hammer has destroyed the angle | the giant threw it at his brother in the old tale | the king was hanged at this spot in the legend
 the shaft was damaged by gunshot | it was bloody cold all week | damn this rain, i forgot my boots | your reading is careless and wrong | i cannot accept this argument, it is weak and badly supported | the paper is a poor piece of work and should be withdrawn
 the editor was mistaken about the last letter | this is a stupid place for a car park | mind the bull and the dogs | the witch was burned in the story | women worked in the fields below | foreigners came to see the stone | migrants found the fragment
-the cock on the weather vane | the ass stood by the gate | rats had nested under the slab | the old bitch of the farm followed us | a naked figure is carved on the shaft | the sheela shows her breasts | the name was read as son of the hound
+the cock on the weather vane | the ass stood by the gate | rats had nested under the slab | the old bitch of the farm followed us | ha ha ha ha | stone stone stone stone | la la la la | the the the the | a naked figure is carved on the shaft | the sheela shows her breasts | the name was read as son of the hound
 der stein ist zerbrochen und stark verwittert | der riese erschlug seinen bruder in der sage | ausländer besuchten den stein | die lesung ist falsch und nachlässig | la pierre est brisée et usée | des étrangers ont visité le site | la lecture est fausse et peu soignée | tá an chloch briste agus caite
 """
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from stonegraph.session import shuffle_partitions
+from stonegraph.session import checkpointed
 
 # How values are commonly decorated and shortened.
 ACCENTS = ("áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
@@ -68,11 +68,17 @@ def allowed_sql(n: str) -> str:
     return f"CASE WHEN {n} < 4 THEN 0 WHEN {n} < 5 THEN 1 WHEN {n} < 10 THEN 2 ELSE {MOST} END"
 
 
-# A list's spellings with their rotations by words, so that "Priory, X" and "X Museum of" are met too.
-SPELLINGS = """
-WITH words AS (SELECT kind, canonical, own, split({norm}, ' ') AS w FROM {spellings} WHERE length({norm}) > 0)
+# The steps, one statement each.
+
+# A list's spellings as words.
+WORDS = """
+SELECT kind, canonical, own, split({norm}, ' ') AS w FROM {spellings} WHERE length({norm}) > 0
+"""
+
+# With their rotations by words, so that "Priory, X" and "X Museum of" are met too.
+FORMS = """
 SELECT kind, form, length(form) AS n, min_by(canonical, struct(own, r, canonical)) AS canonical, min(own * 1000 + r) AS rank
-FROM (SELECT kind, canonical, own, r, concat_ws('', slice(w, r + 1, size(w)), slice(w, 1, r)) AS form FROM words LATERAL VIEW explode(sequence(0, size(w) - 1)) AS r)
+FROM (SELECT kind, canonical, own, r, concat_ws('', slice(w, r + 1, size(w)), slice(w, 1, r)) AS form FROM {words} LATERAL VIEW explode(sequence(0, size(w) - 1)) x AS r)
 GROUP BY kind, form
 """
 
@@ -81,29 +87,36 @@ VALUES = """
 SELECT kind, form, length(form) AS n FROM (SELECT DISTINCT kind, replace({norm}, ' ', '') AS form FROM {entries} WHERE label IS NOT NULL) WHERE form <> ''
 """
 
-# The segments of a spelling: k + 1 of them, the last ones a letter longer if need be.
+# Lengths of spellings that values may have, with the edits those allow.
+LENGTHS = """
+SELECT kind, form, n, m, {k} AS k FROM {values} LATERAL VIEW explode(sequence(greatest(1, n - {most}), n + {most})) x AS m
+"""
+
+# The k + 1 segments of a text of m letters, the last ones a letter longer if need be.
+CUTS = """
+SELECT *, i * (m div (k + 1)) + greatest(0, i - (k + 1 - m % (k + 1))) AS start, m div (k + 1) + IF(i >= k + 1 - m % (k + 1), 1, 0) AS size FROM {texts} LATERAL VIEW explode(sequence(0, k)) x AS i
+"""
+
 SEGMENTS = """
-WITH cut AS (SELECT *, {k} AS k FROM {forms}),
-     one AS (SELECT *, n div (k + 1) AS least, n % (k + 1) AS longer FROM cut LATERAL VIEW explode(sequence(0, k)) AS i),
-     placed AS (SELECT *, i * least + greatest(0, i - (k + 1 - longer)) AS start, least + IF(i >= k + 1 - longer, 1, 0) AS size FROM one)
-SELECT kind, form, canonical, rank, n, k, i, substring(form, start + 1, size) AS segment FROM placed
+SELECT kind, form, canonical, rank, m, k, i, substring(form, start + 1, size) AS segment FROM {cuts}
+"""
+
+# Where a value may hold a segment: shifted by no more than the edits before and after it can explain.
+SHIFTS = """
+SELECT *, greatest(-i, n - m - (k - i)) AS low, least(i, n - m + (k - i)) AS high FROM {cuts} WHERE abs(n - m) <= k
 """
 
-# Where a value may hold a segment of a spelling of m letters: shifted by no more than the edits before and after it can explain.
 PROBES = """
-WITH lengths AS (SELECT kind, form, n, m, {k} AS k FROM (SELECT *, explode(sequence(greatest(1, n - {most}), n + {most})) AS m FROM {values})),
-     one AS (SELECT *, m div (k + 1) AS least, m % (k + 1) AS longer FROM lengths LATERAL VIEW explode(sequence(0, k)) AS i WHERE abs(n - m) <= k),
-     placed AS (SELECT *, i * least + greatest(0, i - (k + 1 - longer)) AS start, least + IF(i >= k + 1 - longer, 1, 0) AS size,
-                       greatest(-i, n - m - (k - i)) AS low, least(i, n - m + (k - i)) AS high FROM one),
-     moved AS (SELECT kind, form, m, i, size, start + shift AS at, n FROM placed LATERAL VIEW explode(IF(low <= high, sequence(low, high), array())) AS shift)
-SELECT DISTINCT kind, form, m, i, substring(form, at + 1, size) AS segment FROM moved WHERE at >= 0 AND at + size <= n
+SELECT DISTINCT kind, form, m, i, substring(form, start + shift + 1, size) AS segment FROM {shifts} LATERAL VIEW explode(sequence(low, high)) x AS shift
+WHERE low <= high AND start + shift >= 0 AND start + shift + size <= n
+"""
+
+MET = """
+SELECT DISTINCT p.kind, p.form, s.form AS spelling, s.canonical, s.rank, s.k FROM {probes} p JOIN {segments} s ON p.kind = s.kind AND p.m = s.m AND p.i = s.i AND p.segment = s.segment
 """
 
 MATCHES = """
-WITH spread AS (SELECT /*+ REPARTITION({parts}, kind, form) */ * FROM {probes}),
-     met AS (SELECT DISTINCT p.kind, p.form, s.form AS spelling, s.canonical, s.rank, s.k FROM spread p JOIN {segments} s ON p.kind = s.kind AND p.m = s.n AND p.i = s.i AND p.segment = s.segment),
-     measured AS (SELECT *, levenshtein(form, spelling, k) AS edits FROM met)
-SELECT kind, form, min_by(canonical, struct(edits, rank, canonical)) AS canonical, min(edits) AS edits FROM measured WHERE edits >= 0 GROUP BY kind, form
+SELECT kind, form, min_by(canonical, struct(edits, rank, canonical)) AS canonical, min(edits) AS edits FROM (SELECT *, levenshtein(form, spelling, k) AS edits FROM {met}) WHERE edits >= 0 GROUP BY kind, form
 """
 
 EXACT = """
@@ -111,12 +124,15 @@ SELECT v.kind, v.form, s.canonical, 0 AS edits FROM {values} v JOIN {forms} s ON
 """
 
 REST = """
-SELECT * FROM {values} v WHERE NOT EXISTS (SELECT 1 FROM {exact} e WHERE e.kind = v.kind AND e.form = v.form)
+SELECT v.* FROM {values} v LEFT ANTI JOIN {exact} e ON e.kind = v.kind AND e.form = v.form
+"""
+
+TYPED = """
+SELECT entry_id, kind, replace({norm}, ' ', '') AS form FROM {entries} WHERE label IS NOT NULL AND label RLIKE '(?U)[^\\\\s]'
 """
 
 RESULT = """
-WITH typed AS (SELECT *, replace({norm}, ' ', '') AS form FROM {entries} WHERE label IS NOT NULL AND label RLIKE '(?U)[^\\\\s]')
-SELECT t.entry_id, coalesce(m.canonical, '') AS canonical, m.edits FROM typed t LEFT JOIN {found} m ON t.kind = m.kind AND t.form = m.form
+SELECT t.entry_id, coalesce(m.canonical, '') AS canonical, m.edits FROM {typed} t LEFT JOIN {found} m ON t.kind = m.kind AND t.form = m.form
 """
 
 
@@ -134,15 +150,18 @@ def map_values(entries: DataFrame, spellings: DataFrame) -> DataFrame:
     sql = entries.sparkSession.sql
     norm = words_sql("label")
     typed = entries.select("entry_id", "kind", "label")
-    forms = sql(SPELLINGS.replace("{norm}", norm), spellings=spellings)
-    values = sql(VALUES.replace("{norm}", norm), entries=typed)
+    words = sql(WORDS.replace("{norm}", norm), spellings=spellings)
+    forms = checkpointed(sql(FORMS, words=words))
+    values = checkpointed(sql(VALUES.replace("{norm}", norm), entries=typed))
     exact = sql(EXACT, values=values, forms=forms)
     rest = sql(REST, values=values, exact=exact)
-    segments = sql(SEGMENTS.replace("{k}", allowed_sql("n")), forms=forms)
-    probes = sql(PROBES.replace("{k}", allowed_sql("m")).replace("{most}", str(MOST)), values=rest)
-    near = sql(MATCHES.replace("{parts}", str(shuffle_partitions(entries.sparkSession))), probes=probes, segments=segments)
-    found = exact.unionByName(near)
-    return sql(RESULT.replace("{norm}", norm), entries=typed, found=found)
+    texts = forms.selectExpr("*", "n AS m", f"{allowed_sql('n')} AS k")
+    segments = sql(SEGMENTS, cuts=sql(CUTS, texts=texts))
+    lengths = sql(LENGTHS.replace("{k}", allowed_sql("m")).replace("{most}", str(MOST)), values=rest)
+    probes = sql(PROBES, shifts=sql(SHIFTS, cuts=sql(CUTS, texts=lengths)))
+    near = sql(MATCHES, met=sql(MET, probes=probes, segments=segments))
+    found = checkpointed(exact.unionByName(near))
+    return sql(RESULT, typed=sql(TYPED.replace("{norm}", norm), entries=typed), found=found)
 
 
 def unmatched(entries: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -164,7 +183,7 @@ SELECT name, max_by(at, steps) AS canonical FROM chain GROUP BY name
 def reference_spellings(keepers: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, canonical, label, own) of the institutions, through their aliases, and of the linked labels."""
     sql = keepers.sparkSession.sql
-    ends = sql(ALIASES, keepers=keepers)
+    ends = checkpointed(sql(ALIASES, keepers=keepers))
     return sql(
         """
         SELECT 'repository' AS kind, e.canonical, x.label, IF(x.label = e.canonical, 0, x.own) AS own FROM {keepers} k JOIN {ends} e ON k.repository = e.name
