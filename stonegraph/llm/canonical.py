@@ -48,6 +48,22 @@ SHORT = [
 MOST = 3  #: edits allowed at most
 
 
+def words_duckdb(c: str) -> str:
+    """``words_sql`` in DuckDB's dialect, for comparison."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    blanks, quotes = "'[\\s ]+'", "'" * 8
+    x = f"trim(replace(translate(regexp_replace(lower({c}), {blanks}, ' ', 'g'), '{ACCENTS[0]}’‘´`', '{ACCENTS[1]}{quotes}'), '&amp;', '&'))"
+    for note in NOTES:
+        x = f"regexp_replace({x}, {quoted(note)}, '', 'g')"
+    x = f"regexp_replace(replace(replace(translate({x}, '{DIGITS[0]}', '{DIGITS[1]}'), '{chr(39) * 2}', ''), '-', ''), '[^a-z]+', ' ', 'g')"
+    for short, full in SHORT:
+        x = f"regexp_replace({x}, {quoted(short)}, '{full}', 'g')"
+    return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+
+
 def words_sql(c: str) -> str:
     """SQL for the plain words of a value: lower case a-z and single blanks, without notes, shortenings written out."""
     x = rf"regexp_replace(lower({c}), '(?U)[\\s]+', ' ')"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stonegraph.llm.abuse import abusive_documents, source_rates
-from stonegraph.llm.canonical import meant_labels
+from stonegraph.llm.canonical import allowed_sql, meant_labels, words_duckdb
 from stonegraph.llm.components import families
 from stonegraph.llm.consensus import fit, reading_consensus, reading_votes
 from stonegraph.llm.encode import encode_texts
@@ -71,5 +71,20 @@ WITH RECURSIVE plain AS (
      links AS (SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b),
      reach AS (SELECT member, member AS other FROM members UNION SELECT reach.member, links.b FROM reach JOIN links ON links.a = reach.other)
 SELECT min(other) AS group_id, member FROM reach GROUP BY member
+""",
+    "p5_found": f"""
+WITH RECURSIVE chain(name, reached, steps) AS (SELECT repository, repository, 0 FROM keeper_coordinates WHERE length(trim(repository)) > 0
+       UNION ALL SELECT c.name, k.alias_of, c.steps + 1 FROM chain c JOIN keeper_coordinates k ON c.reached = k.repository JOIN keeper_coordinates t ON k.alias_of = t.repository WHERE c.steps < 20),
+     ends AS (SELECT name, max_by(reached, steps) AS canonical FROM chain GROUP BY name),
+     listed AS (SELECT 'repository' AS kind, e.canonical, k.repository AS label, CASE WHEN k.repository = e.canonical THEN 0 ELSE 1 END AS own FROM keeper_coordinates k JOIN ends e ON k.repository = e.name
+       UNION ALL SELECT 'repository', e.canonical, k.wd_label, CASE WHEN k.wd_label = e.canonical THEN 0 ELSE 2 END FROM keeper_coordinates k JOIN ends e ON k.repository = e.name WHERE k.wd_label IS NOT NULL
+       UNION ALL SELECT kind, label, label, 0 FROM wikidata_links WHERE label IS NOT NULL UNION ALL SELECT kind, label, wd_label, 2 FROM wikidata_links WHERE label IS NOT NULL AND wd_label IS NOT NULL),
+     words AS (SELECT kind, canonical, own, string_split({words_duckdb("label")}, ' ') AS w FROM listed WHERE length({words_duckdb("label")}) > 0),
+     turned AS (SELECT kind, canonical, own, r, array_to_string(list_concat(w[r + 1:], w[:r]), '') AS form FROM (SELECT *, unnest(range(0, len(w))) AS r FROM words)),
+     forms AS (SELECT kind, form, length(form) AS n, min_by(canonical, (own, r, canonical)) AS canonical, min(own * 1000 + r) AS rank FROM turned GROUP BY kind, form),
+     typed AS (SELECT DISTINCT entry_id, kind, replace({words_duckdb("label")}, ' ', '') AS form FROM label_entries WHERE label IS NOT NULL AND regexp_matches(label, '[^\s' || chr(160) || ']')),
+     tried AS (SELECT v.kind, v.form, s.canonical, s.rank, levenshtein(v.form, s.form) AS edits, {allowed_sql("s.n")} AS k FROM (SELECT DISTINCT kind, form FROM typed WHERE form <> '') v JOIN forms s ON v.kind = s.kind AND abs(length(v.form) - s.n) <= 3),
+     found AS (SELECT kind, form, min_by(canonical, (edits, rank, canonical)) AS canonical FROM tried WHERE edits <= k GROUP BY kind, form)
+SELECT DISTINCT t.entry_id, coalesce(f.canonical, '') AS canonical FROM typed t LEFT JOIN found f ON t.kind = f.kind AND t.form = f.form
 """,
 }
