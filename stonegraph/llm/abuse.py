@@ -59,6 +59,17 @@ der stein ist zerbrochen und stark verwittert | der riese erschlug seinen bruder
 """
 
 
+def _unleet(m: re.Match) -> str:
+    """Digits and signs within a word of letters as the letters they stand for."""
+    word = m[0]
+    if word.isalpha() or not any(c in "0123457@$!|" for c in word):
+        return word
+    core = word.rstrip("!|.,;:?)\"'")
+    if len(core) < 3 or not any("a" <= c <= "z" for c in core):
+        return word
+    return core.translate(LEET) + word[len(core) :]
+
+
 def plain_words(text: str) -> str:
     """Text in small letters with hidden writing undone: compatibility forms, marks, invisible characters, look-alikes, drawn-out and spaced letters, digits for letters within words."""
     t = unicodedata.normalize("NFKD", text).lower()
@@ -68,7 +79,7 @@ def plain_words(text: str) -> str:
             t = re.sub(r"\w+", lambda m: m[0].translate(ALIKE), t)
         t = t.replace("ß", "ss").replace("’", "'").replace("‘", "'")
     t = re.sub(r"(?<!\w)(?:\w[ .\-_*·]){2,}\w(?!\w)", lambda m: re.sub(r"[ .\-_*·]", "", m[0]), t)
-    t = re.sub(r"(?=\w*[a-z])(?=\S*[0-9@$!|])[a-z0-9@$!|]{3,}(?<![!|])", lambda m: m[0].translate(LEET), t)
+    t = re.sub(r"\S+", _unleet, t)
     return re.sub(r"(\w)\1{2,}", r"\1", t)
 
 
@@ -101,33 +112,68 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode()) & (BUCKETS - 1)
 
 
-def features(words: list[str], known: dict[str, tuple]) -> set[int]:
-    """Hashed features of a sentence: words, their letters in fours, pairs of words next to each other or one apart; names and group terms count in pairs by their kind."""
-    found: set[int] = set()
-    kinds = []
-    for w in words:
-        if w not in known:
-            if len(known) > 300_000:
-                known.clear()
-            name = w.startswith("«n»")
-            bare = w[3:] if name else w
-            grams = {_hash("#" + p) for p in ("<" + bare + ">",) for p in (p[i : i + 4] for i in range(len(p) - 3))} if len(bare) < 30 else set()
-            known[w] = (frozenset({_hash(bare)} | grams), "«n»" if name else "«g»" if w in GROUP_OF else w, bare)
-        ids, kind, _ = known[w]
-        found |= ids
-        kinds.append(kind)
-    for n, k in enumerate(kinds):
-        if n + 1 < len(kinds):
-            found.add(_hash(k + " " + kinds[n + 1]))
-        if n + 2 < len(kinds):
-            found.add(_hash(k + " _ " + kinds[n + 2]))
-        if k == "«n»" and n + 1 < len(kinds):  # nouns of some languages look like names
-            found.add(_hash(known[words[n]][2] + " " + kinds[n + 1]))
+def word_features(word: str) -> tuple[list[int], str, str]:
+    """Hashed features of a word (itself, its letters in fours), its kind in pairs (names and group terms go by their kind), and its bare form."""
+    bare = word[3:] if word.startswith("«n»") else word
+    edged = f"<{bare}>"
+    grams = {_hash("#" + edged[i : i + 4]) for i in range(len(edged) - 3)} if len(bare) < 30 else set()
+    return [_hash(bare), *sorted(grams)], "«n»" if word.startswith("«n»") else "«g»" if word in GROUP_OF else word, bare
+
+
+def pairs_of(kinds: list[str], bares: list[str]) -> set[tuple[str, str, str]]:
+    """Pairs of words next to each other or one apart; a name also with its own form before its neighbour, as nouns of some languages look like names."""
+    found = {(a, " ", b) for a, b in zip(kinds, kinds[1:])}
+    found.update((a, " _ ", b) for a, b in zip(kinds, kinds[2:]))
+    if "«n»" in kinds:
+        found.update((bares[n], " ", kinds[n + 1]) for n in range(len(kinds) - 1) if kinds[n] == "«n»")
     return found
 
 
 def feature_row(words: list[str], known: dict[str, tuple]) -> np.ndarray:
-    return np.array(sorted(features(words, known)), np.int32)
+    """The hashed features of a sentence: those of each different word and each different pair, added up."""
+    for w in words:
+        if w not in known:
+            known[w] = word_features(w)
+    ids = [i for w in sorted(set(words)) for i in known[w][0]]
+    ids += [_hash("".join(p)) for p in sorted(pairs_of([known[w][1] for w in words], [known[w][2] for w in words]))]
+    return np.array(ids, np.int32)
+
+
+class Scorer:
+    """Scores texts with trained weights; what words and pairs weigh is remembered, up to ``most`` of each."""
+
+    def __init__(self, w: np.ndarray, b: float, most: int = 400_000):
+        self.w, self.b, self.most = w, b, most
+        self.words: dict[str, tuple[float, str, str]] = {}
+        self.pairs: dict[tuple, float] = {}
+
+    def _word(self, word: str) -> tuple[float, str, str]:
+        if len(self.words) >= self.most:
+            self.words.clear()
+        ids, kind, bare = word_features(word)
+        got = self.words[word] = (float(self.w[ids].sum()), kind, bare)
+        return got
+
+    def _pair(self, pair: tuple) -> float:
+        if len(self.pairs) >= self.most:
+            self.pairs.clear()
+        got = self.pairs[pair] = float(self.w[_hash("".join(pair))])
+        return got
+
+    def sentence(self, words: list[str]) -> float:
+        held = self.words
+        each = [held.get(w) or self._word(w) for w in words]
+        z = sum(e[0] for e in dict(zip(words, each)).values())
+        get = self.pairs.get
+        for p in pairs_of([e[1] for e in each], [e[2] for e in each]):
+            v = get(p)
+            z += self._pair(p) if v is None else v
+        return z
+
+    def text(self, text: str | None) -> float:
+        """The chance that the worst sentence is abusive; 0 for a text without words."""
+        worst = max((self.sentence(words) for words in sentences(text)), default=None)
+        return 0.0 if worst is None else float(1 / (1 + np.exp(-(worst + self.b))))
 
 
 def swapped(words: list[str]) -> list[str] | None:
@@ -208,15 +254,6 @@ def train(docs: list[tuple[str, float]], *, rounds: int = 220, rate: float = 0.0
     return w, b
 
 
-def text_score(text: str | None, w: np.ndarray, b: float, known: dict) -> float:
-    """The chance that the worst sentence is abusive; 0 for a text without words."""
-    worst = None
-    for words in sentences(text):
-        z = w[list(features(words, known))].sum()
-        worst = z if worst is None or z > worst else worst
-    return 0.0 if worst is None else float(1 / (1 + np.exp(-(worst + b))))
-
-
 def reviewed(documents: DataFrame, labels: DataFrame, most: int = MOST_REVIEWED) -> list[tuple[str, float]]:
     """(text, label) of at most ``most`` documents, drawn by hash, on which more readers say the one than the other."""
     votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("y")).where("y <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -241,9 +278,9 @@ def score_documents(documents: DataFrame, labels: DataFrame, *, most: int = MOST
         at, values, bias = shared.value
         weights = np.zeros(BUCKETS)
         weights[at] = values
-        known: dict = {}
+        scorer = Scorer(weights, bias)
         for batch in batches:
-            scores = [text_score(t, weights, bias, known) for t in batch.column(2).to_pylist()]
+            scores = [scorer.text(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "source", "score"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id bigint, source string, score double")

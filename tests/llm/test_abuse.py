@@ -49,12 +49,29 @@ def test_swapping_a_group_hardly_changes_a_score():
 
     def gap(swap):
         w, b = abuse.train(docs, swap=swap)
-        return abuse.text_score("Many foreigners came to see the carving.", w, b, {}), abuse.text_score("Many farmers came to see the carving.", w, b, {})
+        scorer = abuse.Scorer(w, b)
+        return scorer.text("Many foreigners came to see the carving."), scorer.text("Many farmers came to see the carving.")
 
     (fx, fy), (ux, uy) = gap(5.0), gap(0.0)
     assert abs(fx - fy) < 0.1 and abs(fx - fy) <= abs(ux - uy) + 1e-6 and fx < 0.5
 
 
+def test_scores_are_those_of_the_training_rows():
+    w = abuse.np.random.default_rng(0).normal(size=abuse.BUCKETS)
+    scorer, known = abuse.Scorer(w, 0.0, most=5), {}
+    for words in abuse.sentences("Keep Veshlings out, they steal everything. The old old Garth wall. Du Drecksack Du, ja\nx"):
+        assert abs(scorer.sentence(words) - w[abuse.feature_row(words, known)].sum()) < 1e-9
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for run in ("a" * 300_000, "a1" * 100_000, "a " * 100_000, "!" * 200_000, "1" * 200_000, "*" * 200_000 + "x", "b. " * 60_000):
+        abuse.sentences(run)
+    assert time.time() - began < 20
+
+
 def test_no_labels_and_no_documents(spark):
     docs, labels = table(spark)
     assert abuse.score_documents(docs.limit(0), labels.limit(0)).count() == 0
