@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonegraph.functions import geo
+from stonegraph.session import checkpointed
 
 
 def faceted(df: DataFrame, *, among: dict[str, list] | None = None, flags: list[Column] | None = None, term: str = "", search: list[str] | None = None) -> DataFrame:
@@ -27,11 +29,12 @@ def facet_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def hexbin(points: DataFrame, *, lat: str, lon: str, size: float, scale: str = "log") -> DataFrame:
     """(q, r, n, step): points counted in hexagonal cells, and the colour step of each count; latitudes are stretched by the mean latitude of the points given."""
     p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    mean = p.agg((1 / F.cos(F.radians(F.avg(F.col(lat).cast("decimal(20,9)")).cast("double")))).alias("stretch"))
-    cell = geo.hex_cell(F.col(lon), F.col(lat), F.col("stretch"), size)
-    counted = p.crossJoin(F.broadcast(mean)).select(cell.alias("c")).groupBy("c.q", "c.r").agg(F.count("*").alias("n"))  # one row on the right
-    most = counted.agg(F.max("n").alias("most"))
-    return counted.crossJoin(F.broadcast(most)).select("q", "r", "n", geo.hex_band(F.col("n"), F.col("most"), scale).alias("step"))
+    mean = p.agg(F.avg(F.col(lat).cast("decimal(20,9)")).cast("double")).first()[0]
+    stretch = 1 / math.cos(math.radians(mean or 0.0))
+    cells = p.select(geo.hex_cell(F.col(lon), F.col(lat), F.lit(stretch), size).alias("c")).groupBy("c.q", "c.r").agg(F.count("*").alias("n"))
+    cells = checkpointed(cells)
+    most = cells.agg(F.max("n")).first()[0] or 1
+    return cells.select("q", "r", "n", geo.hex_band(F.col("n"), F.lit(most), scale).alias("step"))
 
 
 def legend(cells: DataFrame) -> DataFrame:

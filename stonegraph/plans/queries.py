@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -685,6 +686,6 @@ def landing_figures(spark: SparkSession, d: str) -> DataFrame:
 def stream_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Events through the file stream that stops when it has caught up, then summed."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    base = f"{shared.rstrip('/')}/stonegraph-stream-{spark.sparkContext.applicationId}-{abs(hash((d, id(object()))))}"
+    base = f"{shared.rstrip('/')}/stonegraph-stream-{uuid.uuid4()}"
     rows = catch_up(spark, d, sink=f"{base}/sink", checkpoint=f"{base}/checkpoint", transform=lambda s: s.select("event_type", "value"), pattern="events.parquet")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
