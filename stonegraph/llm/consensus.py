@@ -59,7 +59,7 @@ class Consensus:
         self.items, self.annotators, self.votes, self.rounds = items, annotators, votes, rounds
 
 
-def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 12, tolerance: float = 1e-3) -> Consensus:
+def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 12, tolerance: float = 1e-3, anchor: float = 1.0) -> Consensus:
     """Fits the model to (item, annotator, label), each pair of item and annotator once.
 
     ``items``: item, consensus, voters, agreement (share of its annotators with
@@ -67,7 +67,8 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 12, tolerance: float
     labels, reliability (expected share of right labels, drawn towards the
     annotator's community) and community. Rows with a null are left out; of a
     pair given twice the greatest label counts; an empty table gives empty
-    results. Ties go to the label with more votes, then to the smallest.
+    results. A community's beginning weighs ``anchor`` times an even share of all
+    labels, lest all annotators drift into one. Ties go to the label with more votes, then to the smallest.
     """
     given = votes.where("item is not null and annotator is not null and label is not null").groupBy("item", "annotator").agg(F.max("label").alias("label"))
     by_item, by_text = Window.partitionBy("item"), Window.partitionBy("item", "label")
@@ -76,7 +77,8 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 12, tolerance: float
     laid = laid.withColumn("rivals", F.round(F.sum(1 / F.col("same")).over(by_item)))
     laid = checkpointed(laid)
     c = len(START)
-    prior = np.array([[s] * kinds for s in START]) * STRENGTH
+    strength = max(STRENGTH, anchor * laid.count() / (c * kinds))
+    prior = np.array([[s] * kinds for s in START]) * strength
     matrices, sizes = prior.copy(), np.full(c, 1.0)
     weights, last, done = None, None, 0
     for done in range(1, rounds + 1):
