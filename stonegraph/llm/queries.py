@@ -72,7 +72,7 @@ WITH RECURSIVE plain AS (
      reach AS (SELECT member, member AS other FROM members UNION SELECT reach.member, links.b FROM reach JOIN links ON links.a = reach.other)
 SELECT min(other) AS group_id, member FROM reach GROUP BY member
 """,
-    "p5_found": f"""
+    "p5_found": rf"""
 WITH RECURSIVE chain(name, reached, steps) AS (SELECT repository, repository, 0 FROM keeper_coordinates WHERE length(trim(repository)) > 0
        UNION ALL SELECT c.name, k.alias_of, c.steps + 1 FROM chain c JOIN keeper_coordinates k ON c.reached = k.repository JOIN keeper_coordinates t ON k.alias_of = t.repository WHERE c.steps < 20),
      ends AS (SELECT name, max_by(reached, steps) AS canonical FROM chain GROUP BY name),
