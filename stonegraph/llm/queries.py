@@ -29,8 +29,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the annotators of each stone agree."""
-    return reading_consensus(table(spark, sf_dir, "readings")).select("ogham_id", F.col("voters").cast("bigint").alias("voters"), F.round("agreement", 6).alias("agreement"))
+    """How far the annotators of each stone agree; every stone with a text, be it by one annotator only."""
+    return reading_consensus(table(spark, sf_dir, "readings"), least=1).select("ogham_id", F.col("voters").cast("bigint").alias("voters"), F.round("agreement", 6).alias("agreement"))
 
 
 def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from conftest import DATA
 from oracle import connect, same
 
+from stonegraph.llm.consensus import reading_votes
 from stonegraph.llm.queries import ORACLES, QUERIES
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -14,3 +15,10 @@ def test_query(spark, name):
         same(df, connect(DATA), ORACLES[name])
     else:
         assert df.count() > 0
+
+
+def test_agreement_covers_every_stone_with_a_text(spark):
+    votes = reading_votes(spark.read.parquet(str(DATA / "readings.parquet"))).groupBy("item").count().collect()
+    found = {r.ogham_id: r for r in QUERIES["p6_agreement"](spark, str(DATA)).collect()}
+    assert {k: r.voters for k, r in found.items()} == {v["item"]: v["count"] for v in votes} and min(v["count"] for v in votes) < 3
+    assert all(1 <= round(r.agreement * r.voters, 4) <= r.voters for r in found.values())
