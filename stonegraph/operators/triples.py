@@ -14,6 +14,9 @@ SKOS = "http://www.w3.org/2004/02/skos/core#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 CRM = "http://www.cidoc-crm.org/cidoc-crm/"
+CRMTEX = "http://www.cidoc-crm.org/extensions/crmtex/"
+PROV = "http://www.w3.org/ns/prov#"
+GEO = "http://www.opengis.net/ont/geosparql#"
 WKT = "http://www.opengis.net/ont/geosparql#wktLiteral"
 DATA = "http://data.example.org/"  #: default space of minted nodes
 DOMAIN = "http://onto.example.org/"  #: default space of the domain's own terms
@@ -102,6 +105,54 @@ def keeper_graph(links: DataFrame) -> DataFrame:
     )
 
 
+def keeper_places(links: DataFrame) -> DataFrame:
+    """Labels and points of the keepers' places: ``links`` has keeper, lat, lon."""
+    place = node("place_keeper_", F.col("keeper"))
+    return emit(links, literal(place, RDFS + "label", F.concat("keeper", F.lit(" (present location)"))), literal(place, GEO + "asWKT", F.concat(F.lit("POINT("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")")), WKT))
+
+
+def stone_graph(stones: DataFrame) -> DataFrame:
+    """Stones with identifiers, type, material, inscribed surface, inscription, place and names: ``stones`` has stone, label, ids, object_type, material, inscription, place, lat, lon, names."""
+    stone, kind, material = node("stone_", F.col("stone")), node("type_", F.col("object_type")), node("material_", F.col("material"))
+    surface, text_node, place = node("surface_", F.col("stone")), node("inscription_", F.col("stone")), node("place_", F.col("stone"))
+    typed, made, told, pinned = F.length("object_type") > 0, F.length("material") > 0, F.length("place") > 0, F.col("lat").isNotNull()
+    own = emit(
+        stones, a(stone, CRM + "E22_Human-Made_Object"), a(stone, DOMAIN + "OghamStone"), literal(stone, RDFS + "label", F.col("label")), (typed, a(kind, CRM + "E55_Type")), (typed, literal(kind, RDFS + "label", F.col("object_type"))), (typed, uri(stone, CRM + "P2_has_type", kind)),
+        (made, a(material, CRM + "E57_Material")), (made, literal(material, RDFS + "label", F.col("material"))), (made, uri(stone, CRM + "P45_consists_of", material)), a(surface, CRM + "E25_Human-Made_Feature"), literal(surface, RDFS + "label", F.lit("inscribed surface")), uri(stone, CRM + "P56_bears_feature", surface),
+        a(text_node, CRMTEX + "TX1_Written_Text"), a(text_node, DOMAIN + "Inscription"), (F.length("inscription") > 0, literal(text_node, RDFS + "label", F.col("inscription"))), uri(stone, DOMAIN + "carries", text_node),
+        (told | pinned, a(place, CRM + "E53_Place")), (told, literal(place, RDFS + "label", F.col("place"))), (told | pinned, uri(stone, CRM + "P53_has_former_or_current_location", place)), (pinned, literal(place, GEO + "asWKT", F.concat(F.lit("POINT("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")")), WKT)),
+    )
+    idn, person = node("id_", F.col("stone"), F.col("system")), node("person_", F.col("stone"), F.col("name"))
+    ids = emit(stones.select("stone", F.explode("ids").alias("system", "value")), a(idn, CRM + "E42_Identifier"), literal(idn, RDFS + "label", F.col("value")), literal(idn, CRM + "P2_has_type", F.col("system")), uri(stone, CRM + "P1_is_identified_by", idn))
+    names = emit(stones.select("stone", F.explode("names").alias("name")), a(person, CRM + "E21_Person"), a(person, DOMAIN + "Person"), literal(person, RDFS + "label", F.col("name")), uri(stone, DOMAIN + "shows", person))
+    return merge(own, ids, names)
+
+
+def gazetteer_graph(places: DataFrame, hosts: list[str] | None = None) -> DataFrame:
+    """Weighted matches of named places (key: the whole ancestry, as in ``place_graph``) with the gazetteer links of ``hosts``, or with all links."""
+    labels = F.transform("hierarchy", lambda h: h["label"])
+    each = places.withColumn("labels", labels).select("labels", F.posexplode("hierarchy").alias("i", "h")).select(F.concat(F.lit("place_"), F.array_join(F.transform(F.reverse(F.slice("labels", F.col("i") + 1, F.size("labels"))), text.slug), "_")).alias("key"), F.explode("h.links").alias("link"))
+    if hosts:
+        each = each.where(F.exists(F.array(*map(F.lit, hosts)), lambda h: F.contains(F.col("link"), h)))
+    place, target = F.concat(F.lit(DATA), F.col("key")), F.col("link")
+    st = F.concat(F.lit(DATA + "match_"), F.col("key"), F.lit("_"), text.slug(F.regexp_extract("link", "[^/]*$", 0)))
+    return emit(each, uri(place, SKOS + "closeMatch", target), *statement(st, place, SKOS + "closeMatch", target, F.lit(1.0), F.lit("source-asserted")), literal(st, DOMAIN + "matchConfidence", F.lit("1.00"), XSD + "decimal"), literal(st, DOMAIN + "matchTypeCheck", F.lit("curated")))
+
+
+def word_graph(matches: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary and its words' occurrences in readings: ``matches`` has stone, reading_id, editor, script, text, token, word, mode, variant, ``vocabulary`` word, mode, variant. Readings without a match aren't emitted."""
+    word = node("word_", F.col("word"), F.col("mode"))
+    cls = F.when(F.col("mode") == "formula", DOMAIN + "FormulaWord").when(F.col("mode") == "element", DOMAIN + "NomenclatureWord").otherwise(DOMAIN + "Word")
+    entries = emit(vocabulary, a(word, CRM + "E55_Type"), uri(word, RDF + "type", cls), literal(word, RDFS + "label", F.col("word")), literal(word, DOMAIN + "wordClass", F.col("mode")), literal(word, SKOS + "altLabel", F.col("variant")))
+    stone, text_node, reading, agent = node("stone_", F.col("stone")), node("inscription_", F.col("stone")), node("reading_", F.col("stone"), F.col("reading_id")), node("agent_", F.col("reading_id"))
+    occ = node("word_occ_", F.col("stone"), F.col("reading_id"), F.col("word"), F.col("mode"))
+    found = emit(
+        matches, a(reading, DOMAIN + "Reading"), literal(reading, RDFS + "label", F.col("text")), (F.length("script") > 0, literal(reading, DOMAIN + "script", F.col("script"))), uri(text_node, DOMAIN + "identifiedAs", reading), uri(stone, DOMAIN + "carries", text_node), a(agent, PROV + "Agent"), literal(agent, RDFS + "label", F.col("editor")), uri(reading, PROV + "wasAttributedTo", agent),
+        uri(occ, RDF + "type", cls), literal(occ, RDFS + "label", F.col("token")), uri(occ, CRM + "P2_has_type", word), literal(occ, DOMAIN + "matchedVariant", F.col("variant")), literal(occ, DOMAIN + "matchMode", F.col("mode")), uri(stone, DOMAIN + "shows", occ),
+    )
+    return merge(entries, found)
+
+
 def person_graph(persons: DataFrame) -> DataFrame:
     """Named ends and their relations: ``persons`` has stone, from_id, to_id, lemma, gloss, is_kin, is_parent, uncertain, edge_no."""
     src, dst = node("person_", F.col("from_id")), F.when(F.col("is_kin"), node("tribe_", F.col("to_id"))).otherwise(node("person_", F.col("to_id")))

@@ -23,12 +23,12 @@ _TAG = pa.struct([("tag", pa.string()), ("n", pa.int32())])
 SCHEMA = pa.schema([
     ("record", pa.string()), ("recovered", pa.bool_()), ("ids", pa.map_(pa.string(), pa.string())), ("title", pa.string()), ("page", pa.string()), ("repository", pa.string()), ("material", pa.string()), ("object_type", pa.string()),
     ("has_place", pa.bool_()), ("place_text", pa.string()), ("places", pa.list_(_PLACE)), ("geo_raw", pa.string()), ("geo_cert", pa.string()), ("notes", pa.list_(pa.string())), ("links", pa.list_(pa.string())), ("observed", pa.string()),
-    ("responsible", pa.string()), ("readings", pa.list_(_READING)), ("parts", pa.list_(_PART)), ("names", pa.list_(pa.string())), ("tags", pa.list_(_TAG)),
+    ("responsible", pa.string()), ("readings", pa.list_(_READING)), ("parts", pa.list_(_PART)), ("names", pa.list_(pa.string())), ("name_texts", pa.list_(pa.string())), ("tags", pa.list_(_TAG)),
 ])
 DDL = (
     "record string, recovered boolean, ids map<string,string>, title string, page string, repository string, material string, object_type string, has_place boolean, place_text string, "
     "places array<struct<type:string,raw:string,vernacular:array<struct<lang:string,form:string>>,links:array<string>>>, geo_raw string, geo_cert string, notes array<string>, links array<string>, observed string, "
-    "responsible string, readings array<struct<source:string,note:string,text:string,current:boolean>>, parts array<struct<phrase:int,pos:int,kind:string,ref:string,surface:string>>, names array<string>, tags array<struct<tag:string,n:int>>"
+    "responsible string, readings array<struct<source:string,note:string,text:string,current:boolean>>, parts array<struct<phrase:int,pos:int,kind:string,ref:string,surface:string>>, names array<string>, name_texts array<string>, tags array<struct<tag:string,n:int>>"
 )
 LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 
@@ -125,13 +125,17 @@ def record(content: str | None, strict: bool = False) -> dict | None:
             elif _name(el) == "w" and el.get("type") == "formula" and (el.get("lemma") or "").strip("#").strip():
                 parts.append({"phrase": n, "pos": pos, "kind": "rel", "ref": el.get("lemma").strip("#").strip(), "surface": _text(el)})
                 pos += 1
+    shown_names: dict[str, str] = {}
+    for x in _all(root, "name"):
+        if x.get("nymRef") is not None and re.fullmatch("[A-Za-z ]+", _text(x)):
+            shown_names.setdefault(_text(x).upper(), _text(x))
     page = next((x for x in numbered if x.get("type") == "CISP"), None)
     return {
         "recovered": recovered, "ids": list(ids.items()), "title": _text(_first(root, "title")), "page": "" if page is None else page.get("corresp", ""), "repository": _text(_first(root, "msIdentifier", "repository")),
         "material": _text(_first(root, "material")), "object_type": _text(_first(root, "objectType")), "has_place": place is not None, "place_text": _text(place), "places": places,
         "geo_raw": _text(geo_el), "geo_cert": "" if geo_el is None else geo_el.get("cert", ""), "notes": [_text(x) for x in _all(place, "note")], "links": [r.get("target") for r in _all(place, "ref") if r.get("target")],
         "observed": " ".join(_text(p) for p in _all(root, "provenance") if p.get("type") == "observed" and _text(p)), "responsible": "" if shown is None else (shown.get("resp") or "").lstrip("#"),
-        "readings": [r for r in readings if r["text"]], "parts": parts, "names": [x.get("nymRef") for x in _all(root, "name") if x.get("nymRef")], "tags": [{"tag": t, "n": k} for t, k in sorted(Counter(_name(x) for x in root.iter() if _name(x)).items())],
+        "readings": [r for r in readings if r["text"]], "parts": parts, "names": [x.get("nymRef") for x in _all(root, "name") if x.get("nymRef")], "name_texts": list(shown_names.values()), "tags": [{"tag": t, "n": k} for t, k in sorted(Counter(_name(x) for x in root.iter() if _name(x)).items())],
     }
 
 
