@@ -86,6 +86,13 @@ def plain_words(text: str) -> str:
 TOKEN = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]*)*|\d+")
 NAME = re.compile(r"(?<=[\w,;] )[A-Z][^\W\d_]+(?:’s|'s)?")
 GROUP_OF = {plain_words(w): lang for lang, ws in GROUPS.items() for w in ws}
+CLASHES = {"manner"}  #: plain forms (of Männer) that are other words unless written like a name
+
+
+def group_of(word: str) -> str | None:
+    """The language of a term for a group, be it masked as a name or not; None for other words."""
+    bare = word.removeprefix("«n»")
+    return None if word == bare and bare in CLASHES else GROUP_OF.get(bare)
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -117,7 +124,7 @@ def word_features(word: str) -> tuple[list[int], str, str]:
     bare = word[3:] if word.startswith("«n»") else word
     edged = f"<{bare}>"
     grams = {_hash("#" + edged[i : i + 4]) for i in range(len(edged) - 3)} if len(bare) < 30 else set()
-    return [_hash(bare), *sorted(grams)], "«n»" if word.startswith("«n»") else "«g»" if word in GROUP_OF else word, bare
+    return [_hash(bare), *sorted(grams)], "«g»" if group_of(word) else "«n»" if word.startswith("«n»") else word, bare
 
 
 def pairs_of(kinds: list[str], bares: list[str]) -> set[tuple[str, str, str]]:
@@ -178,14 +185,15 @@ class Scorer:
 
 def swapped(words: list[str]) -> list[str] | None:
     """The sentence with each term for a group swapped for another one; None if it names no group."""
-    if not any(w in GROUP_OF for w in words):
+    if not any(map(group_of, words)):
         return None
     out = []
     for n, w in enumerate(words):
-        lang = GROUP_OF.get(w)
+        lang, bare = group_of(w), w.removeprefix("«n»")
         if lang:
             terms = [plain_words(x) for x in GROUPS[lang]]
-            w = terms[(terms.index(w) + 5 + 7 * n) % len(terms)] if w in terms else w
+            at = terms.index(bare) + 5 + 7 * n
+            w = w.removesuffix(bare) + next(t for t in (terms[(at + k) % len(terms)] for k in range(len(terms))) if t not in CLASHES and t != bare)
         out.append(w)
     return out
 

@@ -78,3 +78,11 @@ def test_no_labels_and_no_documents(spark):
     s = [r.score for r in abuse.score_documents(spark.createDataFrame([(1, "You are an idiot.", "a", 0.0)], DOCS), labels.limit(0)).collect()]
     assert s[0] > 0.5
     assert abuse.abusive_documents(docs, labels).columns == ["doc_id"]
+
+
+def test_group_terms_are_swapped_inside_sentences_and_manner_is_none():
+    for text in ("Many Germans came to see it.", "Da kamen die Frauen.", "Da kamen die Männer."):
+        words = abuse.sentences(text)[0]
+        other = abuse.swapped(words)
+        assert other and len(other) == len(words) and other != words and "«g»" in {abuse.word_features(w)[1] for w in words}
+    assert abuse.swapped(abuse.sentences("It is cut in the same manner.")[0]) is None
