@@ -123,7 +123,7 @@ def word_features(word: str) -> tuple[list[int], str, str]:
     """Hashed features of a word (itself, its letters in fours), its kind in pairs (names and group terms go by their kind), and its bare form."""
     bare = word[3:] if word.startswith("«n»") else word
     edged = f"<{bare}>"
-    grams = {_hash("#" + edged[i : i + 4]) for i in range(len(edged) - 3)} if len(bare) < 30 else set()
+    grams = {_hash("#" + edged[i : i + 4]) for i in range(len(edged) - 3)}
     return [_hash(bare), *sorted(grams)], "«g»" if group_of(word) else "«n»" if word.startswith("«n»") else word, bare
 
 

@@ -86,3 +86,9 @@ def test_group_terms_are_swapped_inside_sentences_and_manner_is_none():
         other = abuse.swapped(words)
         assert other and len(other) == len(words) and other != words and "«g»" in {abuse.word_features(w)[1] for w in words}
     assert abuse.swapped(abuse.sentences("It is cut in the same manner.")[0]) is None
+
+
+def test_long_words_have_features_of_their_letters():
+    ids = abuse.word_features("youstupidmoronandfilthybastardgetoutofhere")[0]
+    assert len(ids) > 30 and set(abuse.word_features("bastard")[0][1:]) & set(ids)
+    assert len(abuse.word_features("maqi" * 5000)[0]) < 12
