@@ -59,7 +59,7 @@ class Consensus:
         self.items, self.annotators, self.votes, self.rounds = items, annotators, votes, rounds
 
 
-def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 12, tolerance: float = 1e-3, anchor: float = 1.0) -> Consensus:
+def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 200, tolerance: float = 1e-3, anchor: float = 1.0) -> Consensus:
     """Fits the model to (item, annotator, label), each pair of item and annotator once.
 
     ``items``: item, consensus, voters, agreement (share of its annotators with
@@ -68,7 +68,8 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 12, tolerance: float
     annotator's community) and community. Rows with a null are left out; of a
     pair given twice the greatest label counts; an empty table gives empty
     results. A community's beginning weighs ``anchor`` times an even share of all
-    labels, lest all annotators drift into one. Ties go to the label with more votes, then to the smallest.
+    labels, lest all annotators drift into one. RuntimeError if the matrices haven't
+    settled within ``tolerance`` after ``rounds`` rounds. Ties go to the label with more votes, then to the smallest.
     """
     given = votes.where("item is not null and annotator is not null and label is not null").groupBy("item", "annotator").agg(F.max("label").alias("label"))
     by_item, by_text = Window.partitionBy("item"), Window.partitionBy("item", "label")
@@ -95,6 +96,8 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 12, tolerance: float
         if last is not None and np.abs(now - last).max() < tolerance:
             break
         last = now
+    else:
+        raise RuntimeError(f"the matrices did not settle in {rounds} rounds")
     held = _held(laid, weights, by_item, by_text)
     ranked = held.groupBy("item", "label").agg(F.round(F.first("support"), 9).alias("support"), F.first("same").alias("same"), F.first("p").alias("p"), F.first("voters").alias("voters"))
     best = F.min_by(F.struct("label", "same", "p", "voters"), F.struct(-F.col("support"), -F.col("same"), F.col("label")))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from stonegraph.llm.consensus import digamma, fit, reading_consensus, reading_votes
 
@@ -62,3 +63,9 @@ def test_votes_of_readings(spark):
     votes = {tuple(r) for r in reading_votes(df).collect()}
     assert votes == {("S", "BRASH", "ABC"), ("S", "(current edition)", "ABC"), ("T", "BRASH", "Q"), ("T", "DIACK", "Q"), ("T", "(current edition)", "Q")}
     assert {tuple(r)[:2] for r in reading_consensus(df).collect()} == {("T", "Q")}
+
+
+def test_an_unsettled_model_raises(spark):
+    rows, _ = simulated(3, 40)
+    with pytest.raises(RuntimeError, match="settle"):
+        fit(spark.createDataFrame(rows, SCHEMA), rounds=1)
