@@ -23,6 +23,8 @@ def closure(edges: DataFrame, *, child: str, parent: str, reflexive: bool = True
         if now == size:
             break
         size = now
+    else:
+        raise RuntimeError("the closure did not settle")
     if reflexive:
         reach = reach.union(e.select(F.explode(F.array("node", "ancestor")).alias("node")).select("node", F.col("node").alias("ancestor"))).distinct()
     return reach
@@ -52,17 +54,34 @@ def components(edges: DataFrame, *, a: str, b: str, most_rounds: int = 80) -> Da
     return linked.union(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
-def chase(aliases: DataFrame, *, name: str, target: str, most_steps: int = 40) -> DataFrame:
-    """(name, canonical): the end of each chain of aliases; a chain that runs in a circle ends where it closes, back at its own name, and one that leaves the list at the name it leads to."""
-    step = aliases.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.max(F.nullif(F.col(target), F.lit(""))).alias("next"))
-    step = checkpointed(step)
-    at = step.select("name", F.coalesce("next", "name").alias("canonical"), F.when(F.col("next").isNull(), True).otherwise(False).alias("done"))
-    for _ in range(most_steps):
-        nxt = step.select(F.col("name").alias("canonical"), F.col("next").alias("further"))
-        at = checkpointed(at.join(nxt, "canonical", "left").select("name", F.when(F.col("done") | F.col("further").isNull(), F.col("canonical")).otherwise(F.col("further")).alias("canonical"), (F.col("done") | F.col("further").isNull() | (F.col("further") == F.col("name"))).alias("done")))
-        if at.where("not done").isEmpty():
+def chase(aliases: DataFrame, *, name: str, target: str) -> DataFrame:
+    """(name, canonical): the end of each chain of aliases, however long.
+
+    A chain that leaves the list ends at the name it leads to; one that runs
+    into a circle ends at the circle's smallest member. A null or empty target
+    ends a chain, a null name is left out, and of several targets of a name the
+    greatest counts. Jumps double each round, so ``n`` aliases settle in about
+    ``log2(n)`` rounds; RuntimeError if they haven't after 64.
+    """
+    listed = aliases.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.max(F.nullif(F.col(target), F.lit(""))).alias("next"))
+    # to: the place after ``reach`` steps, or the end (done); low: the smallest name on the way there
+    at = checkpointed(listed.select("name", F.coalesce("next", "name").alias("to"), F.least("name", F.coalesce("next", "name")).alias("low"), F.col("next").isNull().alias("done")))
+    before, reach = -1, 1
+    for _ in range(64):
+        jump = at.select(F.col("name").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        open_ = at.where("not done").join(jump, "to", "left")
+        moved = open_.select("name", F.coalesce("to2", "to").alias("to"), F.coalesce(F.least("low", "low2"), "low").alias("low"), F.coalesce("done2", F.lit(True)).alias("done"))
+        at, reach = checkpointed(at.where("done").unionByName(moved)), 2 * reach
+        left = at.where("not done").count()
+        if not left or (left == before and reach >= left):  # nothing but circles and what runs into them
             break
-    return at.select("name", "canonical")
+        before = left
+    else:
+        raise RuntimeError("the aliases did not settle")
+    if left:
+        ends = at.where("not done").select(F.col("name").alias("to"), F.col("low").alias("end"))
+        at = at.join(ends, "to", "left").withColumn("to", F.when(F.col("done"), F.col("to")).otherwise(F.col("end")))
+    return at.select("name", F.col("to").alias("canonical"))
 
 
 def hierarchy_pairs(df: DataFrame, *, key: str, chain: str) -> DataFrame:

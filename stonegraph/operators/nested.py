@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stonegraph.session import BitTable, checkpointed, shared_folder
+
 ELEMENTS = ("origPlace", "placeName", "rdg", "persName")
 ENCLOSING = ("app", "provenance")
 
@@ -104,18 +106,39 @@ def _flatten(emit: tuple, enclose: tuple, payload: bool, rows_a_batch: int = 500
     return flatten
 
 
+def _copies_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each partition the first row of each (record, at, h), so that copies of a hot key don't travel."""
+    seen: set = set()
+    for b in batches:
+        keep = []
+        for n, key in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
+            if key not in seen:
+                seen.add(key)
+                keep.append(n)
+        if keep:
+            yield b.take(pa.array(keep))
+
+
 def latest(records: DataFrame, *, key: str, content: str, at: str) -> DataFrame:
     """(record, content): of each key the row with the greatest ``at``.
 
     A null ``at`` is least; of ties a row with content comes before one
     without, then the greater content hash. Rows with a null key are left out.
-    Which row wins is settled on hashes, pre-aggregated before the shuffle;
-    exact copies are taken once.
+    First the keys with several rows are found, without their contents, when
+    the function is called; only those rows are shuffled to settle which wins,
+    and copies of a row before that only once from each task. All others stay
+    where they are read.
     """
-    src = records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("record"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**62))).alias("at"), F.when(F.col(content).isNotNull(), F.xxhash64(content)).alias("h"), F.col(content).cast("string").alias("content"))
-    best = src.groupBy("record").agg(F.max(F.struct("at", "h")).alias("v")).select("record", "v.at", "v.h")
+    src = records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("record"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**62))).alias("at"), F.col(content).cast("string").alias("content")).withColumn("_k", F.xxhash64("record"))
+    several = checkpointed(src.groupBy("_k").count().where("count > 1").select("_k"))
+    sieve = BitTable(several, "_k", several.count())
+    alone = sieve.strange(src, "_k").where("content is not null").select("record", "content")
+    rivals = sieve.held(src, "_k").select("record", "at", F.when(F.col("content").isNotNull(), F.xxhash64("content")).alias("h"), "content")
+    rivals = rivals.mapInArrow(_copies_once, "record string, at bigint, h bigint, content string")
+    best = rivals.groupBy("record").agg(F.max(F.struct("at", "h")).alias("v")).select("record", "v.at", "v.h")
     on = ["record", "at", "h"]  # a winner without content has no h, meets nothing and gives no rows
-    return src.join(best.where("h is not null"), on).dropDuplicates(on).select("record", "content")
+    won = rivals.join(best.where("h is not null"), on).dropDuplicates(on).select("record", "content")
+    return alone.unionByName(won)
 
 
 def flatten_records(records: DataFrame, *, key: str, content: str, at: str | None = None, emit: Iterable[str] = ELEMENTS, enclose: Iterable[str] = ENCLOSING, payload: bool = True) -> DataFrame:
@@ -148,13 +171,23 @@ TABLES = {
 
 
 def read_tables(spark: SparkSession, path: str, tables: dict[str, dict[str, str]] = TABLES) -> dict[str, DataFrame]:
-    """The tables written by ``write_tables``: keys, parent's keys, text, and the attributes of each table's schema."""
+    """The tables written by ``write_tables``: keys, parent's keys, text, and the attributes of each table's schema. A tag of which nothing was written gives an empty table."""
     tagged = spark.read.schema(TAGGED).parquet(path)
     keys = ["record", F.col("element_no"), "parent_element", "parent_no", "text"]
     return {tag: tagged.where(F.col("element") == tag).select(*keys, *(F.col("attributes")[a].cast(t).alias(a) for a, t in schema.items())) for tag, schema in tables.items()}
 
 
+def nested_tables(records: DataFrame, *, key: str, content: str, at: str | None = None, tables: dict[str, dict[str, str]] = TABLES, enclose: Iterable[str] = ENCLOSING) -> dict[str, DataFrame]:
+    """A table for each tag of ``tables``: the records' elements, flattened in one pass, written partitioned by tag under the shared checkpoint folder when this is called, and read back with their schemas."""
+    folder = shared_folder(records.sparkSession, "nested")
+    write_tables(flatten_records(records, key=key, content=content, at=at, emit=tables, enclose=enclose), folder)
+    return read_tables(records.sparkSession, folder, tables)
+
+
 def nested_elements(editions: DataFrame) -> DataFrame:
-    """(ogham_id, element, element_no, parent_element, parent_no) of the latest record of each stone."""
-    tagged = flatten_records(editions, key="ogham_id", content="content", at="fetched", payload=False)
-    return tagged.select(F.col("record").alias("ogham_id"), "element", "element_no", "parent_element", "parent_no")
+    """(ogham_id, element, element_no, parent_element, parent_no) of the latest record of each stone, from the tables of all four elements."""
+    found = None
+    for tag, rows in nested_tables(editions, key="ogham_id", content="content", at="fetched").items():
+        keys = rows.select(F.col("record").alias("ogham_id"), F.lit(tag).alias("element"), "element_no", "parent_element", "parent_no")
+        found = keys if found is None else found.unionByName(keys)
+    return found

@@ -8,6 +8,7 @@ for the differing keys only. A key is known by 128 bits of hash, a content by
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stonegraph.session import bounded_rows, partitions_for
+from stonegraph.session import BitTable, bounded_rows, checkpointed, partitions_for
 
 COMPACT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("ord", pa.int32()), ("at", pa.int64()), ("h", pa.int64())])
 DIFF = pa.schema(list(COMPACT) + [("later", pa.int32()), ("change", pa.int8())])
@@ -55,7 +56,8 @@ def difference(batches: Iterator[pa.RecordBatch], snapshots: int) -> Iterator[pa
         return
     cols, key_no = _winners(_columns(kept))
     ord_, h = cols[2], cols[4]
-    rows_of = [np.flatnonzero(ord_ == s) for s in range(snapshots)]
+    by_ord = np.argsort(ord_, kind="stable")
+    rows_of = np.split(by_ord, np.searchsorted(ord_[by_ord], np.arange(1, snapshots)))
     for s in range(1, snapshots):
         old, new = rows_of[s - 1], rows_of[s]
         a, b = key_no[old], key_no[new]  # both ascending
@@ -79,16 +81,18 @@ def snapshot_changes(rows: DataFrame, *, key: str, ord: str, at: str, content: s
     a null key or number are no records; the first snapshot gives no cases; an
     empty table gives none. Extra columns are ignored. A key that is repeated
     very often is combined before the shuffle. ``buckets`` defaults to a number
-    by the estimated size of ``rows``.
+    by the estimated size of ``rows``. The differing keys' hashes are found, and
+    checkpointed, when the function is called.
     """
     src = rows.select(F.col(key).alias("key"), F.col(ord).cast("int").alias("ord"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**62))).alias("at"), F.col(content).cast("string").alias("content"))
     src = src.where(F.col("key").isNotNull() & F.col("ord").between(0, snapshots - 1))
     h = F.when(F.col("content").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64("content"))
-    hashed = src.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), "ord", "at", h.alias("h"), "key")
-    compact = hashed.drop("key").mapInArrow(combine, "k1 bigint, k2 bigint, ord int, at bigint, h bigint")
-    diff = compact.repartition(buckets or partitions_for(rows, expansion=1.5), "k1", "k2").mapInArrow(lambda it: difference(it, snapshots), "k1 bigint, k2 bigint, ord int, at bigint, h bigint, later int, change tinyint")
-    on = ["k1", "k2", "ord", "at", "h"]
-    full = hashed.join(diff, on).select(*on, "later", "change", "key").distinct()
+    keyed = src.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), "ord", "at", h.alias("h"), "key")
+    compact = keyed.drop("key").mapInArrow(combine, "k1 bigint, k2 bigint, ord int, at bigint, h bigint")
+    diff = checkpointed(compact.repartition(buckets or partitions_for(rows, expansion=1.5), "k1", "k2").mapInArrow(lambda it: difference(it, snapshots), "k1 bigint, k2 bigint, ord int, at bigint, h bigint, later int, change tinyint").select("k1", "k2", "later", "change"))
+    # Full keys, for what differs: others are sifted out where they are read, and each key travels once from each task.
+    sifted = BitTable(diff, "k1", diff.count()).held(keyed.select("k1", "k2", "key"), "k1").distinct()
+    full = sifted.join(diff, ["k1", "k2"]).select("later", "change", "key")
     name = F.element_at(F.array(*map(F.lit, CHANGES)), F.col("change").cast("int") + 1)
     return full.select(F.col("key"), F.col("later").alias("ord"), name.alias("change"))
 
@@ -115,25 +119,35 @@ def snapshot_order(headers: DataFrame, *, commit: str = "commit", date: str = "c
     return [r["c"] for r in sorted(rows, key=lambda r: (r["t"], r["c"]))]
 
 
-def manifest_changes(files: DataFrame, headers: DataFrame, *, least: int = 7) -> DataFrame:
+def sole_beginnings(commits: list[str]) -> list[tuple[str, int]]:
+    """(beginning, place in the list) of every beginning, of one digit or more, that fits one commit only, and of each commit in full."""
+    order = sorted(range(len(commits)), key=commits.__getitem__)
+    shared = [len(os.path.commonprefix([commits[a], commits[b]])) for a, b in zip(order, order[1:])]
+    out = []
+    for n, k in enumerate(order):
+        least = max([shared[n - 1] if n else 0, shared[n] if n < len(shared) else 0]) + 1
+        out += [(commits[k][:size], k) for size in range(min(least, len(commits[k])), len(commits[k]) + 1)]
+    return out
+
+
+def manifest_changes(files: DataFrame, headers: DataFrame) -> DataFrame:
     """(commit, path, change) between the snapshots of a corpus manifest.
 
     ``files`` has commit, path, sha and fetched; ``headers`` commit and
-    commit_date. A commit may be cut to its first ``least`` or more digits; one
-    that fits no snapshot, or several, counts for none. Paths and content ids
-    are brought to their plain forms first; rows without a path are no files.
+    commit_date. A commit may be cut short to any beginning; one that fits no
+    snapshot, or several, counts for none. Paths and content ids are brought to
+    their plain forms first; rows without a path are no files.
     """
     commits = snapshot_order(headers)
     spark = files.sparkSession
-    known = spark.createDataFrame([(c, i, c[:least]) for i, c in enumerate(commits)], "full string, ord int, begin string")
-    given = files.select(F.lower(F.trim("commit")).alias("given"), plain_path(F.col("path")).alias("path"), blob_id(F.col("sha")).alias("sha"), "fetched")
-    if len({c[:least] for c in commits}) == len(commits):
-        on = (F.substring("given", 1, least) == F.col("begin")) & F.col("full").startswith(F.col("given"))
-        placed = given.join(F.broadcast(known), on)
-    else:  # commits that begin alike: only beginnings that tell them apart count
-        begins = [(c[:n], c) for c in commits for n in range(least, len(c) + 1)]
-        sole = {b: c for b, c in begins if sum(x.startswith(b) for x in commits) == 1 or b == c}
-        table = spark.createDataFrame([(b, commits.index(c)) for b, c in sole.items()], "begin string, ord int")
-        placed = given.join(F.broadcast(table), F.col("given") == F.col("begin"))
+    known = spark.createDataFrame([(c, i) for i, c in enumerate(commits)], "full string, ord int")
+    begins = spark.createDataFrame(sole_beginnings(commits), "begin string, ord int")  # at most 40 for each of the few snapshots
+    given = files.select(F.lower(F.trim("commit")).alias("begin"), plain_path(F.col("path")).alias("path"), blob_id(F.col("sha")).alias("sha"), "fetched")
+    placed = given.join(F.broadcast(begins), "begin")
     changes = snapshot_changes(placed, key="path", ord="ord", at="fetched", content="sha", snapshots=len(commits), buckets=partitions_for(files, expansion=1.5))
     return changes.join(F.broadcast(known), "ord").select(F.col("full").alias("commit"), F.col("key").alias("path"), "change")
+
+
+def change_counts(changes: DataFrame, *, by: str = "commit", change: str = "change") -> DataFrame:
+    """(by, added, removed, changed): how many keys each snapshot changed."""
+    return changes.groupBy(by).agg(*(F.count(F.when(F.col(change) == c, 1)).alias(c) for c in CHANGES))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stonegraph.operators.nested import nested_elements
-from stonegraph.operators.snapshot import manifest_changes
+from stonegraph.operators.nested import nested_elements, nested_tables
+from stonegraph.operators.snapshot import change_counts, manifest_changes
 from stonegraph.operators.spatial import neighbourhood
 from stonegraph.session import table
 
@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_changes(table(spark, sf_dir, "manifest_files"), table(spark, sf_dir, "manifest_snapshots"))
 
 
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files each commit added, removed and changed."""
+    return change_counts(p1_found(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbourhood(table(spark, sf_dir, "keepers"), table(spark, sf_dir, "areas"))
 
@@ -24,10 +29,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_elements(table(spark, sf_dir, "editions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+def _nested(tag: str) -> Callable[[SparkSession, str], DataFrame]:
+    def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested_tables(table(spark, sf_dir, "editions"), key="ogham_id", content="content", at="fetched")[tag]
 
-ORACLES: dict[str, str] = {
-    "p1_found": r"""
+    return rows
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_counts": p1_counts,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_orig_places": _nested("origPlace"),
+    "p3_place_names": _nested("placeName"),
+    "p3_readings": _nested("rdg"),
+    "p3_persons": _nested("persName"),
+}
+
+CHANGED = r"""
 WITH heads AS (SELECT lower(trim(commit)) AS full_id, max(CAST(commit_date AS TIMESTAMPTZ)) AS t FROM manifest_snapshots GROUP BY 1),
      numbered AS (SELECT full_id, row_number() OVER (ORDER BY t, full_id) AS n FROM heads),
      plain AS (SELECT lower(trim(commit)) AS given, fetched,
@@ -36,10 +56,14 @@ WITH heads AS (SELECT lower(trim(commit)) AS full_id, max(CAST(commit_date AS TI
                FROM manifest_files WHERE path IS NOT NULL),
      placed AS (SELECT n, path, sha, fetched FROM plain JOIN numbered ON starts_with(full_id, given) WHERE path <> ''),
      kept AS (SELECT n, path, sha FROM placed QUALIFY row_number() OVER (PARTITION BY n, path ORDER BY fetched DESC, sha DESC NULLS LAST) = 1),
-     pairs AS (SELECT coalesce(b.n, a.n + 1) AS n, coalesce(b.path, a.path) AS path, a.path AS old, b.path AS new, a.sha AS x, b.sha AS y FROM kept a FULL JOIN kept b ON a.path = b.path AND b.n = a.n + 1)
-SELECT full_id AS commit, path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM pairs JOIN numbered USING (n) WHERE n > 1 AND (old IS NULL OR new IS NULL OR x IS DISTINCT FROM y)
-""",
+     pairs AS (SELECT coalesce(b.n, a.n + 1) AS n, coalesce(b.path, a.path) AS path, a.path AS old, b.path AS new, a.sha AS x, b.sha AS y FROM kept a FULL JOIN kept b ON a.path = b.path AND b.n = a.n + 1),
+ changes AS (SELECT full_id AS commit, path, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM pairs JOIN numbered USING (n) WHERE n > 1 AND (old IS NULL OR new IS NULL OR x IS DISTINCT FROM y))
+"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": CHANGED + "SELECT * FROM changes",
+    "p1_counts": CHANGED + "SELECT commit, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'changed') AS changed FROM changes GROUP BY commit",
     "p2_found": r"""
 WITH last_rows AS (SELECT ogham_id, findspot_lat AS lat, findspot_lon AS lon FROM keepers WHERE ogham_id <> '' QUALIFY row_number() OVER (PARTITION BY ogham_id ORDER BY recorded DESC, findspot_lat DESC, findspot_lon DESC) = 1),
      stones AS (SELECT * FROM last_rows WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)),

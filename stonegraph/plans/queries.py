@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,7 @@ from stonegraph.functions import geo, text
 from stonegraph.operators import graph, resolve, rules, triples, views
 from stonegraph.operators.nested import latest
 from stonegraph.operators.spatial import located
-from stonegraph.session import table
+from stonegraph.session import shared_folder, table
 from stonegraph.sources import editions
 from stonegraph.streaming.snapshots import catch_up
 
@@ -35,9 +33,10 @@ VALID = "findspot_lat BETWEEN -90 AND 90 AND findspot_lon BETWEEN -180 AND 180 A
 SLUG = "coalesce(nullif(regexp_replace(regexp_replace(coalesce({0}, ''), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'x')"
 NORM = r"""upper(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(coalesce({0}, '')), '(?i);?\s*\bRoman\b\s*:.*$', ' ', 'g'),
  '\([^)]*[a-z0-9][^)]*\)', ' ', 'g'), '\([^)]*[a-z0-9][^)]*$', ' ', 'g'), '(?i)vacat\b|vac\.', ' ', 'g'), '[\[\](){{}}⸢⸣〚〛/\\]', '', 'g'), '[^A-Za-z]+', ' ', 'g')))"""
-ALIASES = """chain(name, reached, steps) AS (SELECT repository, repository, 0 FROM keeper_coordinates WHERE repository IS NOT NULL
-  UNION ALL SELECT c.name, k.alias_of, c.steps + 1 FROM chain c JOIN keeper_coordinates k ON c.reached = k.repository WHERE k.alias_of <> '' AND c.steps < 30),
- ends AS (SELECT name, max_by(reached, steps) AS canonical FROM chain GROUP BY name)"""
+ALIASES = """hop AS (SELECT repository AS name, nullif(max(alias_of), '') AS next FROM keeper_coordinates WHERE repository IS NOT NULL GROUP BY repository),
+ chain(name, reached) AS (SELECT name, next FROM hop WHERE next IS NOT NULL UNION SELECT c.name, h.next FROM chain c JOIN hop h ON c.reached = h.name WHERE h.next IS NOT NULL),
+ circles AS (SELECT name, reached FROM chain WHERE reached IN (SELECT name FROM chain WHERE name = reached)),
+ ends AS (SELECT h.name, coalesce((SELECT min(reached) FROM circles WHERE circles.name = h.name), (SELECT min(reached) FROM chain WHERE chain.name = h.name AND reached NOT IN (SELECT name FROM hop WHERE next IS NOT NULL)), h.name) AS canonical FROM hop h)"""
 
 
 # ---- text
@@ -442,7 +441,7 @@ def names_once(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("stone", F.upper("from_name").alias("name")).agg(F.min("from_name").alias("spelling"), F.count("*").alias("mentions"))
 
 
-EDGES = "e AS (SELECT s_suppkey AS a, 1000000 + s_nationkey AS b FROM supplier UNION ALL SELECT 2000000 + p_partkey, 3000000 + p_size FROM part WHERE p_retailprice < 1000)"
+EDGES = "e AS (SELECT s_suppkey AS a, 1000000 + s_nationkey AS b FROM supplier UNION ALL SELECT 2000000 + p_partkey, 3000000 + p_size FROM part)"
 
 
 @query(f"""
@@ -451,7 +450,7 @@ SELECT component, count(*) AS nodes FROM c GROUP BY component
 """)
 def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     s, p = table(spark, d, "supplier"), table(spark, d, "part")
-    e = s.select(F.col("s_suppkey").alias("a"), (F.lit(1000000) + F.col("s_nationkey")).cast("bigint").alias("b")).union(p.where("p_retailprice < 1000").select(F.lit(2000000) + F.col("p_partkey"), (F.lit(3000000) + F.col("p_size")).cast("bigint")))
+    e = s.select(F.col("s_suppkey").alias("a"), (F.lit(1000000) + F.col("s_nationkey")).cast("bigint").alias("b")).union(p.select(F.lit(2000000) + F.col("p_partkey"), (F.lit(3000000) + F.col("p_size")).cast("bigint")))
     return graph.components(e, a="a", b="b").groupBy("component").agg(F.count("*").alias("nodes"))
 
 
@@ -685,7 +684,6 @@ def landing_figures(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE AS total FROM events GROUP BY event_type")
 def stream_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Events through the file stream that stops when it has caught up, then summed."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    base = f"{shared.rstrip('/')}/stonegraph-stream-{uuid.uuid4()}"
+    base = shared_folder(spark, "stream")
     rows = catch_up(spark, d, sink=f"{base}/sink", checkpoint=f"{base}/checkpoint", transform=lambda s: s.select("event_type", "value"), pattern="events.parquet")
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,19 +36,64 @@ def partitions_for(df: DataFrame, bytes_each: int = 48 << 20, expansion: float =
     return max(shuffle_partitions(spark), math.ceil(size * expansion / bytes_each))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read back.
-
-    The folder is that of ``spark.checkpoint.dir``; only where the session
-    names none (tests on one machine) a temporary one is used.
-    """
-    sc = df.sparkSession.sparkContext
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it. Only a session on one machine may go without; its folder is then made. RuntimeError on a cluster."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         wanted = sc.getConf().get("spark.checkpoint.dir")
+        if not wanted and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="stonegraph-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared checkpoint folder and read back; a job runs."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables under the cluster's shared checkpoint folder."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+BITS = 15  #: a row of a bit table has 2 ** BITS bits (4 KB)
+
+
+class BitTable:
+    """A filter of bigint hashes, of about 16 bits for each of ``count`` keys.
+
+    It never exceeds ``2 ** most_log2`` bits (16 MB), whatever the number of
+    keys, so it may be broadcast; with more keys than that it only lets more
+    strangers through. What passes has to be joined exactly afterwards.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, count: int, most_log2: int = 27):
+        self.log2 = min(most_log2, max(BITS, (16 * max(1, count) - 1).bit_length()))
+        at = keys.select(F.col(key).bitwiseAND((1 << self.log2) - 1).alias("_at")).distinct()
+        bucket = F.shiftright("_at", BITS)
+        parts = min(shuffle_partitions(keys.sparkSession), 1 << (self.log2 - BITS))
+        self.table = at.repartition(parts, bucket).groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_at").bitwiseAND((1 << BITS) - 1)).alias("_bits"))
+
+    def _joined(self, rows: DataFrame, key: str, how: str) -> tuple[DataFrame, Column]:
+        at = F.col(key).bitwiseAND((1 << self.log2) - 1)
+        inner = at.bitwiseAND((1 << BITS) - 1).cast("int")
+        byte = F.conv(F.hex(F.substring("_bits", F.shiftright(inner, 3) + 1, F.lit(1))), 16, 10).cast("bigint")
+        table = self.table.withColumnRenamed("_bucket", "_of")
+        return rows.join(F.broadcast(table), F.shiftright(at, BITS) == F.col("_of"), how), F.getbit(byte, inner.bitwiseAND(7)) == 1
+
+    def held(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose ``key`` may be among the keys."""
+        joined, bit = self._joined(rows, key, "inner")
+        return joined.where(bit).drop("_of", "_bits")
+
+    def strange(self, rows: DataFrame, key: str) -> DataFrame:
+        """The rows whose ``key`` is certainly not among the keys."""
+        joined, bit = self._joined(rows, key, "left")
+        return joined.where(F.coalesce(~bit, F.lit(True))).drop("_of", "_bits")
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """The rows of a small table, on the driver; ValueError if there are more than ``limit``."""
     rows = df.limit(limit + 1).collect()
