@@ -19,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stonegraph.session import shuffle_partitions
+from stonegraph.session import checkpointed, shuffle_partitions
 
 EARTH_KM = 6371.0
 DEEP = 28  #: levels of the quadtree at most
-STEP = 8, 12, 16, 20, 24, 28  #: levels at which the points are counted
+STEP = 4, 8, 12, 16, 20, 24, 28  #: levels at which the points are counted
 FINE = 48  #: points in a leaf of the trees within a task
 OUT = pa.schema([("a", pa.string()), ("b", pa.string())])
 SENT = pa.schema([("pair", pa.int64()), ("side", pa.int8()), ("id", pa.string()), ("lat", pa.float64()), ("lon", pa.float64())])
@@ -94,6 +94,10 @@ class Tree:
     def root(self):
         return (0, 0, 0) if self.n else None
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the leaves, in Morton order: where each starts, its first chunk's number, its number of chunks."""
+        return self.starts, self.first, np.array(self.chunks, np.int64)
+
     def under(self, node) -> list[int]:
         if not self.kids[node]:
             return list(self.leaves[node])
@@ -124,8 +128,20 @@ def grid(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, np.minimum(((lon + 180) / 360 * (1 << DEEP)).astype(np.int64), top)
 
 
-def build_tree(points: DataFrame, leaf: int) -> Tree:
-    """The quadtree of (id, lat, lon), counted by Spark level by level; only cells too heavy are counted more finely, so that at most about ``4 * count / leaf`` of them, or 65536, reach the driver at a time."""
+def _unions(names: list[str]) -> list[Column]:
+    return [F.min(f"lo_{c}").alias(f"lo_{c}") for c in names] + [F.max(f"hi_{c}").alias(f"hi_{c}") for c in names]
+
+
+def leaf_cells(points: DataFrame, leaf: int, most: int = 4_000_000) -> dict[tuple[int, int, int], tuple]:
+    """(level, i, j) of the quadtree's leaves over (id, lat, lon): their number of points and their box.
+
+    Spark counts the points four levels at a time, of heavy cells only, and
+    sums cells up to the largest that hold ``leaf`` points at most before
+    anything is sent: of each step at most four cells for each heavier cell
+    above them reach the driver. With ``n`` points these are under
+    ``16 * n / leaf`` a step, besides at most 256 of the first. RuntimeError
+    beyond ``most``.
+    """
     lat, lon = F.col("lat"), F.col("lon")
     top = (1 << DEEP) - 1
     deep = points.select(
@@ -133,23 +149,40 @@ def build_tree(points: DataFrame, leaf: int) -> Tree:
         (F.cos(F.radians(lat)) * F.cos(F.radians(lon))).alias("x"), (F.cos(F.radians(lat)) * F.sin(F.radians(lon))).alias("y"), F.sin(F.radians(lat)).alias("z"),
     )
     names = ["x", "y", "z", "lat", "lon"]
-    cells, heavy, spark = {}, None, points.sparkSession
-    for at, level in enumerate(STEP):
+    bounds = [f"{side}_{c}" for side in ("lo", "hi") for c in names]
+    cells, heavy, above, spark = {}, None, 0, points.sparkSession
+    for level in STEP:
         up = DEEP - level
         part = deep.withColumns({"i": F.shiftright("i", up), "j": F.shiftright("j", up)})
         if heavy is not None:
-            back = level - STEP[at - 1]
             some = spark.createDataFrame([c[1:] for c in heavy], "hi bigint, hj bigint")
-            part = part.join(F.broadcast(some), (F.shiftright("i", back) == F.col("hi")) & (F.shiftright("j", back) == F.col("hj")), "left_semi")
-        rows = part.groupBy("i", "j").agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in names), *(F.max(c).alias(f"hi_{c}") for c in names)).collect()
-        new = {(level, r["i"], r["j"]): (r["n"], *(r[f"lo_{c}"] for c in names), *(r[f"hi_{c}"] for c in names)) for r in rows}
+            part = part.join(F.broadcast(some), (F.shiftright("i", level - above) == F.col("hi")) & (F.shiftright("j", level - above) == F.col("hj")), "left_semi")
+        part = part.groupBy("i", "j").agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in names), *(F.max(c).alias(f"hi_{c}") for c in names))
+        # each cell's largest light ancestor under the heavy one becomes its leaf; none: itself
+        steps = range(above + 1, level)
+        for k in steps:
+            w = Window.partitionBy(F.shiftright("i", level - k), F.shiftright("j", level - k))
+            part = part.withColumn(f"n{k}", F.sum("n").over(w))
+        held = F.coalesce(*(F.when(F.col(f"n{k}") <= leaf, F.lit(k)) for k in steps), F.lit(level)).alias("level")
+        part = part.withColumn("level", held).withColumn("back", F.lit(level) - F.col("level"))
+        part = part.select("level", F.expr("shiftright(i, back)").alias("i"), F.expr("shiftright(j, back)").alias("j"), "n", *bounds).groupBy("level", "i", "j").agg(F.sum("n").alias("n"), *_unions(names))
+        rows = part.limit(most + 1).collect()
+        if len(cells) + len(rows) > most:
+            raise RuntimeError(f"the tree has more than {most} leaves; use a larger leaf")
+        new = {(r["level"], r["i"], r["j"]): (r["n"], *(r[c] for c in bounds)) for r in rows}
         for c in heavy or []:
             del cells[c]
         cells |= new
-        heavy = [c for c, v in new.items() if v[0] > leaf and not all(lo == hi for lo, hi in zip(v[4:6], v[9:11]))]
+        heavy = [c for c, v in new.items() if c[0] == level and v[0] > leaf and not all(lo == hi for lo, hi in zip(v[4:6], v[9:11]))]
+        above = level
         if not heavy:
             break
-    return Tree(cells, leaf)
+    return cells
+
+
+def build_tree(points: DataFrame, leaf: int) -> Tree:
+    """The quadtree of (id, lat, lon), counted by Spark; see ``leaf_cells``."""
+    return Tree(leaf_cells(points, leaf), leaf)
 
 
 def leaf_pairs(a: Tree, b: Tree, km: float, same: bool) -> list[tuple[int, int]]:
@@ -175,41 +208,62 @@ def leaf_pairs(a: Tree, b: Tree, km: float, same: bool) -> list[tuple[int, int]]
     return found
 
 
-def leaf_numbers(tree_starts, tree_first, tree_chunks, lat, lon, ids) -> np.ndarray:
+def leaf_numbers(tree_starts, tree_first, tree_chunks, lat, lon, salt) -> np.ndarray:
+    """The number of each point's leaf; a crowded leaf's points are spread over its chunks by ``salt``."""
     at = np.searchsorted(tree_starts, morton(*grid(lat, lon)), side="right") - 1
-    number = tree_first[at]
-    many = np.flatnonzero(tree_chunks[at] > 1)
-    if len(many):
-        number = number.copy()
-        for k in many:
-            number[k] += sum(s * 31**n for n, s in enumerate(ids[k].encode()[::-1])) % tree_chunks[at[k]]
-    return number
+    return tree_first[at] + salt % tree_chunks[at]
 
 
-def _sender(tree: Tree, sides: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]], km: float):
-    """Sends each point to the pairs of leaves its leaf is in, unless it is too far from the other leaf's box."""
-    starts, first, chunks, far = tree.starts, tree.first, np.array(tree.chunks), chord(km) ** 2 * (1 + 1e-9) + 1e-30
+def _sender(shared, km: float):
+    """Sends each point to the pairs of leaves its leaf is in, unless it is too far from the other leaf's box.
+
+    ``shared`` broadcasts the tree's leaves and (begin, pair, side, box): of the
+    leaf ``n`` the rows ``begin[n]:begin[n + 1]`` of pair, side and the other
+    leaf's box.
+    """
+    far = chord(km) ** 2 * (1 + 1e-9) + 1e-30
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (starts, first, chunks), (begin, pair, side, box) = shared.value
         for b in batches:
-            if not b.num_rows:
+            if not b.num_rows or len(begin) < 2:
                 continue
-            ids, lat, lon = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
-            leaf = leaf_numbers(starts, first, chunks, lat, lon, ids.to_pylist() if (chunks > 1).any() else None)
+            lat, lon = b.column(1).to_numpy(), b.column(2).to_numpy()
+            leaf = leaf_numbers(starts, first, chunks, lat, lon, b.column(3).to_numpy())
             xyz = unit_vectors(lat, lon)
             order = np.argsort(leaf, kind="stable")
             cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+            went = []
             for rows in np.split(order, cuts):
-                for pair, side, lo, hi in sides.get(int(leaf[rows[0]]), ()):
-                    near, _ = box_bounds(xyz[rows], xyz[rows], lo, hi)
+                n = int(leaf[rows[0]])
+                for k in range(begin[n], begin[n + 1]):
+                    near, _ = box_bounds(xyz[rows], xyz[rows], box[k, :3], box[k, 3:])
                     go = rows[near <= far]
                     if len(go):
-                        take = pa.array(go)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(go), pair, np.int64)), pa.array(np.full(len(go), side, np.int8)), ids.take(take), b.column(1).take(take), b.column(2).take(take)], schema=SENT)
+                        went.append((go, k))
+                if sum(len(g) for g, _ in went) > 500_000:
+                    yield sent(b, went, pair, side)
+                    went = []
+            if went:
+                yield sent(b, went, pair, side)
+
+    def sent(b, went, pair, side):
+        rows, ks = np.concatenate([g for g, _ in went]), np.repeat([k for _, k in went], [len(g) for g, _ in went])
+        take = pa.array(rows)
+        return pa.RecordBatch.from_arrays([pa.array(pair[ks]), pa.array(side[ks]), *(b.column(i).take(take) for i in range(3))], schema=SENT)
 
     return send
 
 
+def _sides(leaves: int, rows: list[tuple]) -> tuple:
+    """(begin, pair, side, box) for ``_sender`` of (leaf, pair, side, lo, hi)."""
+    of = np.array([r[0] for r in rows], np.int64)
+    order = np.argsort(of, kind="stable")
+    box = np.array([np.concatenate(r[3:]) for r in rows]).reshape(-1, 6)[order]
+    begin = np.searchsorted(of[order], np.arange(leaves + 1))
+    return begin, np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int8)[order], box
+
+
 # ---- the finer trees within a task
 
 
@@ -321,12 +375,16 @@ def near_pairs(left: DataFrame, right: DataFrame | None, km: float, *, leaf: int
     without a location are left out (see ``located``); an empty side gives no
     rows; extra columns are ignored; an id with several locations may come out
     several times with the same partner. ``leaf`` points or so make a task's
-    leaf; it grows until at most ``most_pairs`` pairs of leaves remain.
+    leaf; if more than ``most_pairs`` pairs of leaves remain, which happens only
+    where the distance spans many leaves, leaves are put together by fours. The
+    trees are counted when the function is called.
     """
     spark = left.sparkSession
-    sides = [d.where(located(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")) for d in (left, right) if d is not None]
+    salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt")
+    sides = [d.where(located(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).select("*", salt) for d in (left, right) if d is not None]
+    cells = [leaf_cells(d, leaf) for d in sides]
     while True:
-        trees = [build_tree(d, leaf) for d in sides]
+        trees = [Tree(c, leaf) for c in cells]  # leaves of the same cells, put together if need be
         a, b = trees[0], trees[-1]
         pairs = leaf_pairs(a, b, km, right is None)
         if len(pairs) <= most_pairs:
@@ -334,22 +392,40 @@ def near_pairs(left: DataFrame, right: DataFrame | None, km: float, *, leaf: int
         leaf *= 4
     box_a = {x: (a.lo(c), a.hi(c)) for c, r in a.leaves.items() for x in r}
     box_b = {x: (b.lo(c), b.hi(c)) for c, r in b.leaves.items() for x in r}
-    to = [defaultdict(list), defaultdict(list)]
+    to = [[], []]
     for n, (x, y) in enumerate(pairs):
-        to[0][x].append((n, 0, *box_b[y]))
+        to[0].append((x, n, 0, *box_b[y]))
         if right is not None:
-            to[1][y].append((n, 1, *box_a[x]))
+            to[1].append((y, n, 1, *box_a[x]))
         elif x != y:
-            to[0][y].append((n, 1, *box_a[x]))
+            to[0].append((y, n, 1, *box_a[x]))
     selfs = np.array([n for n, (x, y) in enumerate(pairs) if right is None and x == y], np.int64)
     schema = "pair bigint, side tinyint, id string, lat double, lon double"
-    sent = [d.mapInArrow(_sender(t, dict(s), km), schema) for d, t, s in zip(sides, trees, to)]
+    shared = [spark.sparkContext.broadcast((t.arrays(), _sides(sum(t.chunks), s))) for t, s in zip(trees, to)]
+    sent = [d.mapInArrow(_sender(s, km), schema) for d, s in zip(sides, shared)]
     both = sent[0] if right is None else sent[0].unionByName(sent[1])
     points = sum(t.n[t.root()] for t in trees if t.n)
     parts = max(shuffle_partitions(spark), min(len(pairs), -(-points // (4 * leaf))))
     return both.repartition(parts, "pair").mapInArrow(_joiner(selfs, km), "a string, b string")
 
 
+def near_classes(points: DataFrame, km: float, *, leaf: int = 8192) -> DataFrame:
+    """(kind, a, b): near points without the pairs within a crowd.
+
+    Points (id, lat, lon) at exactly one place form a class, named by its
+    smallest id: ``member`` rows give each id ``a`` its class ``b``; ``near``
+    rows give the pairs of classes at most ``km`` apart, ``a`` the smaller. Two
+    points are near each other if and only if their classes are the same or
+    near, so nothing is lost and n points at one spot give n rows. Rows without
+    an id or a location are left out.
+    """
+    pts = checkpointed(points.where(located(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), (F.col("lat").cast("double") + 0.0).alias("lat"), (F.col("lon").cast("double") + 0.0).alias("lon")))
+    spots = checkpointed(pts.groupBy("lat", "lon").agg(F.min("id").alias("id")))
+    members = pts.join(spots.withColumnRenamed("id", "b"), ["lat", "lon"]).select(F.lit("member").alias("kind"), F.col("id").alias("a"), "b").distinct()
+    near = near_pairs(spots, None, km, leaf=leaf)
+    return members.unionByName(near.select(F.lit("near").alias("kind"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 # ---- regions
 
 
@@ -391,12 +467,13 @@ def region_state(lo: np.ndarray, hi: np.ndarray, corners: np.ndarray) -> int:
     return 2 * int(inside(np.array([lo[0]]), np.array([lo[1]]), corners)[0])
 
 
-def _region_sender(tree: Tree):
-    """Sends each polygon down the tree of points: to the leaves it may meet, with its state there."""
-    kids, leaves, root = tree.kids, tree.leaves, tree.root()
-    boxes = {c: (b[[4, 3]], b[[9, 8]]) for c, b in tree.box.items()}
+def _region_sender(shared):
+    """Sends each polygon down the tree of points, which is broadcast: to the leaves it may meet, with its state there."""
 
     def send(batches):
+        tree = shared.value
+        kids, leaves, root = tree.kids, tree.leaves, tree.root()
+        boxes = {c: (b[[4, 3]], b[[9, 8]]) for c, b in tree.box.items()}
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -474,18 +551,19 @@ def containing_regions(points: DataFrame, regions: DataFrame, *, leaf: int = 819
     nothing. Points on an edge may fall to either side.
     """
     spark = points.sparkSession
-    pts = points.where(located(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    pts = points.where(located(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"))
     tree = build_tree(pts, leaf)
-    starts, first, chunks = tree.starts, tree.first, np.array(tree.chunks)
+    shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
+        starts, first, chunks = shared.value.arrays()
         for b in batches:
             if b.num_rows:
-                n = leaf_numbers(starts, first, chunks, b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(0).to_pylist() if (chunks > 1).any() else None)
-                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int8)), *b.columns], schema=SENT)
+                n = leaf_numbers(starts, first, chunks, b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int8)), *b.columns[:3]], schema=SENT)
 
     placed = pts.mapInArrow(place, "pair bigint, side tinyint, id string, lat double, lon double").withColumn("corners", F.lit(None).cast("array<double>"))
-    sent = regions.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), "outline").mapInArrow(_region_sender(tree), "pair bigint, side tinyint, id string, corners array<double>")
+    sent = regions.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), "outline").mapInArrow(_region_sender(shared), "pair bigint, side tinyint, id string, corners array<double>")
     sent = sent.select("pair", "side", "id", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "corners")
     parts = max(shuffle_partitions(spark), -(-(tree.n[tree.root()] if tree.n else 0) // (4 * leaf)))
     return placed.unionByName(sent).repartition(parts, "pair").mapInArrow(_region_joiner(), "a string, b string")
@@ -504,7 +582,7 @@ def institutions(keepers: DataFrame) -> DataFrame:
 
 def neighbourhood(keepers: DataFrame, areas: DataFrame, *, stone_km: float = 0.1, keeper_km: float = 3.0) -> DataFrame:
     """(kind, id_a, id_b), id_a the smaller: near findspots, institutions near a findspot, areas around it."""
-    stones = findspots(keepers)
+    stones = checkpointed(findspots(keepers))
     kinds = {
         "findspot": near_pairs(stones, None, stone_km),
         "keeper": near_pairs(stones, institutions(keepers), keeper_km).distinct(),

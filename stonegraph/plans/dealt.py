@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stonegraph.operators.nested import nested_elements, nested_tables
 from stonegraph.operators.snapshot import change_counts, manifest_changes
-from stonegraph.operators.spatial import neighbourhood
+from stonegraph.operators.spatial import findspots, near_classes, neighbourhood
 from stonegraph.session import table
 
 
@@ -25,6 +25,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbourhood(table(spark, sf_dir, "keepers"), table(spark, sf_dir, "areas"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stones found at one spot as classes, and the classes at most 0.1 km apart."""
+    return near_classes(findspots(table(spark, sf_dir, "keepers")), 0.1)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_elements(table(spark, sf_dir, "editions"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p3_orig_places": _nested("origPlace"),
     "p3_place_names": _nested("placeName"),
@@ -76,5 +82,13 @@ WITH last_rows AS (SELECT ogham_id, findspot_lat AS lat, findspot_lon AS lon FRO
      in_areas AS (SELECT ogham_id AS a, area_id AS b FROM stones JOIN edges ON (p.lat > stones.lat) <> (q.lat > stones.lat) AND stones.lon < (q.lon - p.lon) * (stones.lat - p.lat) / (q.lat - p.lat) + p.lon GROUP BY 1, 2 HAVING count(*) % 2 = 1),
      every AS (SELECT 'findspot' AS kind, * FROM near_stones UNION ALL SELECT 'keeper', * FROM near_keepers UNION ALL SELECT 'area', * FROM in_areas)
 SELECT kind, least(a, b) AS id_a, greatest(a, b) AS id_b FROM every
+""",
+    "p2_classes": r"""
+WITH last_rows AS (SELECT ogham_id, findspot_lat AS lat, findspot_lon AS lon FROM keepers WHERE ogham_id <> '' QUALIFY row_number() OVER (PARTITION BY ogham_id ORDER BY recorded DESC, findspot_lat DESC, findspot_lon DESC) = 1),
+     stones AS (SELECT *, min(ogham_id) OVER (PARTITION BY lat, lon) AS class FROM last_rows WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)),
+     spots AS (SELECT * FROM stones WHERE ogham_id = class)
+SELECT 'member' AS kind, ogham_id AS a, class AS b FROM stones UNION ALL
+SELECT 'near', a.class, b.class FROM spots a JOIN spots b ON a.class < b.class AND abs(a.lat - b.lat) < 0.001
+WHERE 12742 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 0.1
 """,
 }
