@@ -2,7 +2,7 @@
 
 Keys and contents are reduced to fixed-width hashes, bucketed by key hash and
 compared as sorted numpy arrays; the full key strings are fetched afterwards,
-for the differing keys only. A key is known by 128 bits of hash, a content by
+for the differing keys only. A key is known by 96 bits of hash, a content by
 64 bits within its key.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stonegraph.session import BitTable, bounded_rows, checkpointed, partitions_for
 
-COMPACT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("ord", pa.int32()), ("at", pa.int64()), ("h", pa.int64())])
+COMPACT = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("ord", pa.int32()), ("at", pa.int64()), ("h", pa.int64())])
 DIFF = pa.schema(list(COMPACT) + [("later", pa.int32()), ("change", pa.int8())])
 CHANGES = ("added", "removed", "changed")
 
@@ -87,9 +87,9 @@ def snapshot_changes(rows: DataFrame, *, key: str, ord: str, at: str, content: s
     src = rows.select(F.col(key).alias("key"), F.col(ord).cast("int").alias("ord"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**62))).alias("at"), F.col(content).cast("string").alias("content"))
     src = src.where(F.col("key").isNotNull() & F.col("ord").between(0, snapshots - 1))
     h = F.when(F.col("content").isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64("content"))
-    keyed = src.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), "ord", "at", h.alias("h"), "key")
-    compact = keyed.drop("key").mapInArrow(combine, "k1 bigint, k2 bigint, ord int, at bigint, h bigint")
-    diff = checkpointed(compact.repartition(buckets or partitions_for(rows, expansion=1.5), "k1", "k2").mapInArrow(lambda it: difference(it, snapshots), "k1 bigint, k2 bigint, ord int, at bigint, h bigint, later int, change tinyint").select("k1", "k2", "later", "change"))
+    keyed = src.select(F.xxhash64("key").alias("k1"), F.hash("key").alias("k2"), "ord", "at", h.alias("h"), "key")
+    compact = keyed.drop("key").mapInArrow(combine, "k1 bigint, k2 int, ord int, at bigint, h bigint")
+    diff = checkpointed(compact.repartition(buckets or partitions_for(rows, expansion=1.5), "k1", "k2").mapInArrow(lambda it: difference(it, snapshots), "k1 bigint, k2 int, ord int, at bigint, h bigint, later int, change tinyint").select("k1", "k2", "later", "change"))
     # Full keys, for what differs: others are sifted out where they are read, and each key travels once from each task.
     sifted = BitTable(diff, "k1", diff.count()).held(keyed.select("k1", "k2", "key"), "k1").distinct()
     full = sifted.join(diff, ["k1", "k2"]).select("later", "change", "key")

@@ -27,6 +27,7 @@ from stonegraph.session import checkpointed, shuffle_partitions
 EARTH_KM = 6371.0
 DEEP = 28  #: levels of the quadtree at most
 STEP = 4, 8, 12, 16, 20, 24, 28  #: levels at which the points are counted
+LEAF = 8192  #: points, or so, in a leaf of the trees on the driver
 FINE = 48  #: points in a leaf of the trees within a task
 OUT = pa.schema([("a", pa.string()), ("b", pa.string())])
 SENT = pa.schema([("pair", pa.int64()), ("side", pa.int8()), ("id", pa.string()), ("lat", pa.float64()), ("lon", pa.float64())])
@@ -180,11 +181,6 @@ def leaf_cells(points: DataFrame, leaf: int, most: int = 4_000_000) -> dict[tupl
     return cells
 
 
-def build_tree(points: DataFrame, leaf: int) -> Tree:
-    """The quadtree of (id, lat, lon), counted by Spark; see ``leaf_cells``."""
-    return Tree(leaf_cells(points, leaf), leaf)
-
-
 def leaf_pairs(a: Tree, b: Tree, km: float, same: bool) -> list[tuple[int, int]]:
     """Pairs of leaves that may hold points within ``km``; if both are one tree, each unordered pair once."""
     if not a.n or not b.n:
@@ -367,7 +363,7 @@ def _joiner(selfs: np.ndarray, km: float):
     return join
 
 
-def near_pairs(left: DataFrame, right: DataFrame | None, km: float, *, leaf: int = 8192, most_pairs: int = 500_000) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame | None, km: float, *, leaf: int = LEAF, most_pairs: int = 500_000, left_cells: dict | None = None) -> DataFrame:
     """(a, b): pairs of points at most ``km`` apart, from tables of (id, lat, lon).
 
     With ``right`` None, pairs of two different rows of ``left``, each
@@ -377,12 +373,13 @@ def near_pairs(left: DataFrame, right: DataFrame | None, km: float, *, leaf: int
     several times with the same partner. ``leaf`` points or so make a task's
     leaf; if more than ``most_pairs`` pairs of leaves remain, which happens only
     where the distance spans many leaves, leaves are put together by fours. The
-    trees are counted when the function is called.
+    trees are counted when the function is called; ``left_cells`` may give those
+    of ``left`` (see ``leaf_cells``), with the same ``leaf``.
     """
     spark = left.sparkSession
     salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt")
     sides = [d.where(located(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).select("*", salt) for d in (left, right) if d is not None]
-    cells = [leaf_cells(d, leaf) for d in sides]
+    cells = [left_cells if left_cells is not None and n == 0 else leaf_cells(d, leaf) for n, d in enumerate(sides)]
     while True:
         trees = [Tree(c, leaf) for c in cells]  # leaves of the same cells, put together if need be
         a, b = trees[0], trees[-1]
@@ -409,7 +406,7 @@ def near_pairs(left: DataFrame, right: DataFrame | None, km: float, *, leaf: int
     return both.repartition(parts, "pair").mapInArrow(_joiner(selfs, km), "a string, b string")
 
 
-def near_classes(points: DataFrame, km: float, *, leaf: int = 8192) -> DataFrame:
+def near_classes(points: DataFrame, km: float, *, leaf: int = LEAF) -> DataFrame:
     """(kind, a, b): near points without the pairs within a crowd.
 
     Points (id, lat, lon) at exactly one place form a class, named by its
@@ -542,7 +539,7 @@ class Plane:
                 yield rows[inside(self.xy[rows, 0], self.xy[rows, 1], poly)]
 
 
-def containing_regions(points: DataFrame, regions: DataFrame, *, leaf: int = 8192) -> DataFrame:
+def containing_regions(points: DataFrame, regions: DataFrame, *, leaf: int = LEAF, cells: dict | None = None) -> DataFrame:
     """(a, b): each point (id, lat, lon) and each region (id, outline) that holds it.
 
     An outline is an array of (lon, lat) corners in either direction, closed or
@@ -552,7 +549,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, *, leaf: int = 819
     """
     spark = points.sparkSession
     pts = points.where(located(F.col("lat"), F.col("lon")) & F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"))
-    tree = build_tree(pts, leaf)
+    tree = Tree(leaf_cells(pts, leaf) if cells is None else cells, leaf)
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
@@ -583,10 +580,11 @@ def institutions(keepers: DataFrame) -> DataFrame:
 def neighbourhood(keepers: DataFrame, areas: DataFrame, *, stone_km: float = 0.1, keeper_km: float = 3.0) -> DataFrame:
     """(kind, id_a, id_b), id_a the smaller: near findspots, institutions near a findspot, areas around it."""
     stones = checkpointed(findspots(keepers))
+    cells = leaf_cells(stones, LEAF)
     kinds = {
-        "findspot": near_pairs(stones, None, stone_km),
-        "keeper": near_pairs(stones, institutions(keepers), keeper_km).distinct(),
-        "area": containing_regions(stones, areas.select(F.col("area_id").alias("id"), "outline")).distinct(),
+        "findspot": near_pairs(stones, None, stone_km, left_cells=cells),
+        "keeper": near_pairs(stones, checkpointed(institutions(keepers)), keeper_km, left_cells=cells).distinct(),
+        "area": containing_regions(stones, areas.select(F.col("area_id").alias("id"), "outline"), cells=cells).distinct(),
     }
     out = None
     for kind, df in kinds.items():
