@@ -9,46 +9,38 @@ without a partner is reported by an anti-join.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 
+from stonegraph.operators.graph import chase
 from stonegraph.session import checkpointed
 
-# How values are commonly decorated and shortened.
+# How letters and digits are written for one another.
 ACCENTS = ("áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
 DIGITS = ("015", "ols")  # digits read for letters
-NOTES = [
-    r";.*$",
-    r"\((on loan|on display|\?)\)|\[[^\]]*\]",
-    r"[, ]+(inv\.? ?no\.?|acc\.? ?no\.?|store|vol\.?|no\.?|nr\.?|p\.?|pp\.?|room|case) ?[0-9].*$",
-    r"[, ]+et al\b.*$",
-    r"[, (]+(1[5-9]|20)[0-9][0-9][a-z]?\)?$",
-    r"[, ]+(weathered|reused|local|grey|fragment of)[ .]*$",
-    r"^[ '\"]*(prob\.?|probably|poss\.?|possibly|perhaps|ed\.|eds\.|after|cf\.?) ",
-]
-SHORT = [
-    (r"\bnatl\b|\bnat\b", "national"),
-    (r"\bmus\b", "museum"),
-    (r"\br inst\b", "royal institution"),
-    (r"\binst\b", "institution"),
-    (r"\bunivs?\b", "university"),
-    (r"\buniversity coll\b", "university college"),
-    (r"\bcoll\b", "collection"),
-    (r"\bch\b", "church"),
-    (r"\bherit\b", "heritage"),
-    (r"\bctr\b", "centre"),
-    (r"\bco\b", "county"),
-    (r"\blib\b", "library"),
-    (r"\bsoc\b", "society"),
-    (r"\bhist\b", "history"),
-    (r"\bdist\b", "district"),
-    (r"\bsaint\b", "st"),
-    (r"\b(at|the|and|fo|o|o?[a-z]?ff?[a-z]?)\b", " "),  # with slips in "of"
-]
+
+
+class Writing(NamedTuple):
+    """How values of a field are commonly decorated and shortened.
+
+    Patterns of notes that are taken off, and of shortenings with what they
+    stand for, both over small letters without accents, in the order they
+    apply. With ``qualified`` a value that means nothing as a whole may end with
+    one word that qualifies it.
+    """
+
+    notes: tuple[str, ...] = ()
+    short: tuple[tuple[str, str], ...] = ()
+    qualified: bool = False
+
+
+PLAIN = Writing()
 
 MOST = 3  #: edits allowed at most
 
 
-def words_duckdb(c: str) -> str:
+def words_duckdb(c: str, writing: Writing = PLAIN) -> str:
     """``words_sql`` in DuckDB's dialect, for comparison."""
 
     def quoted(pattern: str) -> str:
@@ -56,25 +48,25 @@ def words_duckdb(c: str) -> str:
 
     blanks, quotes = "'[\\s ]+'", "'" * 8
     x = f"trim(replace(translate(regexp_replace(lower({c}), {blanks}, ' ', 'g'), '{ACCENTS[0]}’‘´`', '{ACCENTS[1]}{quotes}'), '&amp;', '&'))"
-    for note in NOTES:
+    for note in writing.notes:
         x = f"regexp_replace({x}, {quoted(note)}, '', 'g')"
     x = f"regexp_replace(replace(replace(translate({x}, '{DIGITS[0]}', '{DIGITS[1]}'), '{chr(39) * 2}', ''), '-', ''), '[^a-z]+', ' ', 'g')"
-    for short, full in SHORT:
+    for short, full in writing.short:
         x = f"regexp_replace({x}, {quoted(short)}, '{full}', 'g')"
     return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
 
 
-def words_sql(c: str) -> str:
+def words_sql(c: str, writing: Writing = PLAIN) -> str:
     """SQL for the plain words of a value: lower case a-z and single blanks, without notes, shortenings written out."""
     x = rf"regexp_replace(lower({c}), '(?U)[\\s]+', ' ')"
     x = f"translate({x}, '{ACCENTS[0]}’‘´`', '{ACCENTS[1]}''''''''')"
     x = f"trim(replace({x}, '&amp;', '&'))"
-    for note in NOTES:
+    for note in writing.notes:
         note = note.replace("\\", "\\\\").replace("'", "\\'")
         x = f"regexp_replace({x}, '{note}', '')"
     x = f"translate({x}, '{DIGITS[0]}', '{DIGITS[1]}')"
     x = rf"regexp_replace(replace(replace({x}, '\'', ''), '-', ''), '[^a-z]+', ' ')"
-    for short, full in SHORT:
+    for short, full in writing.short:
         x = f"regexp_replace({x}, '{short.replace(chr(92), chr(92) * 2)}', '{full}')"
     return f"trim(regexp_replace({x}, ' +', ' '))"
 
@@ -98,14 +90,20 @@ FROM (SELECT kind, canonical, own, r, concat_ws('', slice(w, r + 1, size(w)), sl
 GROUP BY kind, form
 """
 
-# Values, each once, as letters only.
+# Entries as letters only, as a whole and without their last word.
+TYPED = """
+SELECT entry_id, kind, replace(norm, ' ', '') AS form, IF({qualified}, replace(regexp_replace(norm, '(^| )[^ ]+$', ''), ' ', ''), '') AS head
+FROM (SELECT entry_id, kind, {norm} AS norm FROM {entries} WHERE label IS NOT NULL AND label RLIKE '(?U)[^\\\\s]')
+"""
+
+# Values, each once.
 VALUES = """
-SELECT kind, form, length(form) AS n FROM (SELECT DISTINCT kind, replace({norm}, ' ', '') AS form FROM {entries} WHERE label IS NOT NULL) WHERE form <> ''
+SELECT kind, form, length(form) AS n FROM (SELECT kind, form FROM {typed} UNION SELECT kind, head FROM {typed}) WHERE form <> ''
 """
 
-# Lengths of spellings that values may have, with the edits those allow.
+# Lengths of the list's spellings that values may have, with the edits those allow.
 LENGTHS = """
-SELECT kind, form, n, m, {k} AS k FROM {values} LATERAL VIEW explode(sequence(greatest(1, n - {most}), n + {most})) x AS m
+SELECT v.kind, form, v.n, m, {k} AS k FROM (SELECT * FROM {values} LATERAL VIEW explode(sequence(greatest(1, n - {most}), n + {most})) x AS m) v LEFT SEMI JOIN (SELECT DISTINCT kind, n FROM {forms}) l ON l.kind = v.kind AND l.n = v.m
 """
 
 # The k + 1 segments of a text of m letters, the last ones a letter longer if need be.
@@ -127,8 +125,25 @@ SELECT DISTINCT kind, form, m, i, substring(form, start + shift + 1, size) AS se
 WHERE low <= high AND start + shift >= 0 AND start + shift + size <= n
 """
 
+# Segments that many spellings or many values hold, with the numbers of ways their two sides are split in.
+HEAT = """
+SELECT kind, m, i, segment, CAST(ceil(max(spellings) / {many_spellings}) AS int) AS ways, CAST(ceil(max(probes) / {many_probes}) AS int) AS shares FROM (
+  SELECT kind, m, i, segment, count(*) AS spellings, 1 AS probes FROM {segments} GROUP BY kind, m, i, segment HAVING count(*) > {many_spellings} UNION ALL
+  SELECT kind, m, i, segment, 1 AS spellings, count(*) AS probes FROM {probes} GROUP BY kind, m, i, segment HAVING count(*) > {many_probes})
+GROUP BY kind, m, i, segment
+"""
+
+# A hot segment's spellings and probes, each part of the ones with each part of the others.
+SPLIT_SEGMENTS = """
+SELECT s.*, pmod(xxhash64(s.form), coalesce(h.ways, 1)) AS way, share FROM {segments} s LEFT JOIN {heat} h ON s.kind = h.kind AND s.m = h.m AND s.i = h.i AND s.segment = h.segment LATERAL VIEW explode(sequence(0, coalesce(h.shares, 1) - 1)) x AS share
+"""
+
+SPLIT_PROBES = """
+SELECT p.*, way, pmod(xxhash64(p.form), coalesce(h.shares, 1)) AS share FROM {probes} p LEFT JOIN {heat} h ON p.kind = h.kind AND p.m = h.m AND p.i = h.i AND p.segment = h.segment LATERAL VIEW explode(sequence(0, coalesce(h.ways, 1) - 1)) x AS way
+"""
+
 MET = """
-SELECT DISTINCT p.kind, p.form, s.form AS spelling, s.canonical, s.rank, s.k FROM {probes} p JOIN {segments} s ON p.kind = s.kind AND p.m = s.m AND p.i = s.i AND p.segment = s.segment
+SELECT DISTINCT p.kind, p.form, s.form AS spelling, s.canonical, s.rank, s.k FROM {probes} p JOIN {segments} s ON p.kind = s.kind AND p.m = s.m AND p.i = s.i AND p.segment = s.segment AND p.way = s.way AND p.share = s.share
 """
 
 MATCHES = """
@@ -143,63 +158,76 @@ REST = """
 SELECT v.* FROM {values} v LEFT ANTI JOIN {exact} e ON e.kind = v.kind AND e.form = v.form
 """
 
-TYPED = """
-SELECT entry_id, kind, replace({norm}, ' ', '') AS form FROM {entries} WHERE label IS NOT NULL AND label RLIKE '(?U)[^\\\\s]'
+MATCHED = """
+SELECT t.entry_id, m.canonical, m.edits FROM {typed} t JOIN {found} m ON t.kind = m.kind AND t.form = m.form
+"""
+
+# What no spelling is near enough to.
+UNMATCHED = """
+SELECT t.* FROM {typed} t LEFT ANTI JOIN {found} m ON t.kind = m.kind AND t.form = m.form
 """
 
-RESULT = """
-SELECT t.entry_id, coalesce(m.canonical, '') AS canonical, m.edits FROM {typed} t LEFT JOIN {found} m ON t.kind = m.kind AND t.form = m.form
+NOTHING = """
+SELECT entry_id, '' AS canonical, CAST(NULL AS int) AS edits FROM {rest}
 """
 
 
-def map_values(entries: DataFrame, spellings: DataFrame) -> DataFrame:
+def map_values(entries: DataFrame, spellings: DataFrame, *, writing: Writing = PLAIN, many_spellings: int = 256, many_probes: int = 20_000) -> DataFrame:
     """(entry_id, canonical, edits): the canonical value each entry means, '' and null edits if it means none.
 
     ``entries`` has entry_id, kind and label; ``spellings`` kind, canonical,
     label and own (0 for the canonical's own label, more for others). A value
-    is compared, after notes and shortenings are dealt with, letter by letter;
-    up to three edits are allowed, fewer on short spellings. Of several
-    spellings the nearest counts, then the canonical's own, then the smallest.
-    Entries with a null or blank label are left out; a null kind fits none;
-    exact copies give one row each time they occur. Extra columns are ignored.
+    is compared, after notes and shortenings are dealt with as ``writing`` says,
+    letter by letter; up to three edits are allowed, fewer on short spellings.
+    Of several spellings the nearest counts, then the canonical's own, then the
+    smallest. Entries with a null or blank label are left out; a null kind fits
+    none; exact copies give one row each time they occur. Extra columns are
+    ignored. A segment that more than ``many_spellings`` spellings or
+    ``many_probes`` values hold is split, so that no task gets more of either.
+    Entries and what was found are checkpointed when the function is called.
     """
     sql = entries.sparkSession.sql
-    norm = words_sql("label")
-    typed = entries.select("entry_id", "kind", "label")
+    norm = words_sql("label", writing)
+    typed = checkpointed(sql(TYPED.replace("{norm}", norm).replace("{qualified}", str(writing.qualified).lower()), entries=entries.select("entry_id", "kind", "label")))
     words = sql(WORDS.replace("{norm}", norm), spellings=spellings)
     forms = checkpointed(sql(FORMS, words=words))
-    values = checkpointed(sql(VALUES.replace("{norm}", norm), entries=typed))
+    values = checkpointed(sql(VALUES, typed=typed))
     exact = sql(EXACT, values=values, forms=forms)
     rest = sql(REST, values=values, exact=exact)
     texts = forms.selectExpr("*", "n AS m", f"{allowed_sql('n')} AS k")
     segments = sql(SEGMENTS, cuts=sql(CUTS, texts=texts))
-    lengths = sql(LENGTHS.replace("{k}", allowed_sql("m")).replace("{most}", str(MOST)), values=rest)
-    probes = sql(PROBES, shifts=sql(SHIFTS, cuts=sql(CUTS, texts=lengths)))
+    lengths = sql(LENGTHS.replace("{k}", allowed_sql("m")).replace("{most}", str(MOST)), values=rest, forms=forms)
+    probes = checkpointed(sql(PROBES, shifts=sql(SHIFTS, cuts=sql(CUTS, texts=lengths))))
+    heat = checkpointed(sql(HEAT.replace("{many_spellings}", str(many_spellings)).replace("{many_probes}", str(many_probes)), segments=segments, probes=probes))
+    if not heat.isEmpty():
+        segments, probes = sql(SPLIT_SEGMENTS, segments=segments, heat=heat), sql(SPLIT_PROBES, probes=probes, heat=heat)
+    else:
+        segments, probes = segments.selectExpr("*", "0 AS way", "0 AS share"), probes.selectExpr("*", "0 AS way", "0 AS share")
     near = sql(MATCHES, met=sql(MET, probes=probes, segments=segments))
     found = checkpointed(exact.unionByName(near))
-    return sql(RESULT, typed=sql(TYPED.replace("{norm}", norm), entries=typed), found=found)
+    matched, rest = sql(MATCHED, typed=typed, found=found), sql(UNMATCHED, typed=typed, found=found)
+    if writing.qualified:
+        rest = rest.selectExpr("entry_id", "kind", "head AS form")
+        matched, rest = matched.unionByName(sql(MATCHED, typed=rest, found=found)), sql(UNMATCHED, typed=rest, found=found)
+    return matched.unionByName(sql(NOTHING, rest=rest))
 
 
 def unmatched(entries: DataFrame, mapped: DataFrame) -> DataFrame:
-    """The entries that mean no canonical value, with their labels."""
+    """The entries that mean no canonical value, with their labels. Every row of an entry that means one somewhere is left out; null ids are reported."""
     sql = entries.sparkSession.sql
     return sql("SELECT e.* FROM {entries} e LEFT ANTI JOIN (SELECT entry_id FROM {mapped} WHERE canonical <> '') m ON e.entry_id = m.entry_id WHERE e.label RLIKE '(?U)[^\\\\s]'", entries=entries, mapped=mapped)
 
 
-# The canonical end of each chain of aliases; a chain that runs in a circle, or to a name that isn't listed, ends where it can go no further.
-ALIASES = """
-WITH RECURSIVE chain(name, at, steps) AS (
-       SELECT repository, repository, 0 FROM {keepers} WHERE length(trim(repository)) > 0
-       UNION ALL
-       SELECT c.name, k.alias_of, c.steps + 1 FROM chain c JOIN {keepers} k ON c.at = k.repository JOIN {keepers} t ON k.alias_of = t.repository WHERE c.steps < 20)
-SELECT name, max_by(at, steps) AS canonical FROM chain GROUP BY name
-"""
-
-
 def reference_spellings(keepers: DataFrame, links: DataFrame) -> DataFrame:
-    """(kind, canonical, label, own) of the institutions, through their aliases, and of the linked labels."""
+    """(kind, canonical, label, own) of the institutions, through their aliases, and of the linked labels.
+
+    A chain of aliases is followed to its end however long it is; one that runs
+    in a circle ends at the circle's smallest member, and an alias that isn't
+    listed counts for none.
+    """
     sql = keepers.sparkSession.sql
-    ends = checkpointed(sql(ALIASES, keepers=keepers))
+    listed = sql("SELECT k.repository, t.repository AS alias_of FROM {keepers} k LEFT JOIN (SELECT DISTINCT repository FROM {keepers} WHERE length(trim(repository)) > 0) t ON k.alias_of = t.repository WHERE length(trim(k.repository)) > 0", keepers=keepers)
+    ends = chase(listed, name="repository", target="alias_of")
     return sql(
         """
         SELECT 'repository' AS kind, e.canonical, x.label, IF(x.label = e.canonical, 0, x.own) AS own FROM {keepers} k JOIN {ends} e ON k.repository = e.name
@@ -211,6 +239,6 @@ def reference_spellings(keepers: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def meant_labels(entries: DataFrame, keepers: DataFrame, links: DataFrame) -> DataFrame:
+def meant_labels(entries: DataFrame, keepers: DataFrame, links: DataFrame, writing: Writing = PLAIN) -> DataFrame:
     """(entry_id, canonical), without repeated rows."""
-    return map_values(entries, reference_spellings(keepers, links)).select("entry_id", "canonical").distinct()
+    return map_values(entries, reference_spellings(keepers, links), writing=writing).select("entry_id", "canonical").distinct()

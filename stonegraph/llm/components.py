@@ -40,33 +40,85 @@ def _head_start(v: Column, round_no: int, steps: int, beta: float) -> Column:
     return F.shiftleft(start.cast("bigint"), ID_BITS).bitwiseOR(v)
 
 
+def with_parts(links: DataFrame, hub: int) -> DataFrame:
+    """``links`` (a, b), if there are hubs with ``na`` and ``nb``: into how many parts the links of their ends are split, one for every ``hub`` links.
+
+    Only vertices with more than ``hub`` links are told apart, which are under
+    ``2 * links / hub``.
+    """
+    if links.count() <= hub:
+        return links
+    ends = links.select(F.col("a").alias("v")).unionAll(links.select("b"))
+    hubs = checkpointed(ends.groupBy("v").count().where(F.col("count") > hub).select("v", F.ceil(F.col("count") / hub).cast("int").alias("n")))
+    if hubs.isEmpty():
+        return links
+    for end in ("a", "b"):
+        links = links.join(hubs.select(F.col("v").alias(end), F.col("n").alias(f"n{end}")), end, "left").withColumn(f"n{end}", F.coalesce(f"n{end}", F.lit(1)))
+    return checkpointed(links.select("a", "b", "na", "nb"))
+
+
+def _part(other: str, n: str) -> Column:
+    """Which part of a vertex' links the one to ``other`` is in."""
+    return F.pmod(F.xxhash64(other), F.col(n).cast("bigint")).cast("int")
+
+
+def _ways(links: DataFrame) -> DataFrame:
+    """(src, dst) both ways, and from each vertex to itself, as it also keeps what it has; with hubs also the part of the way out, and of ways to oneself the number of parts ``n``."""
+    if "na" not in links.columns:
+        both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(links.select("b", "a"))
+        return both.unionAll(both.select("src", F.col("src").alias("dst")).distinct())
+    out = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), _part("b", "na").alias("part"), F.lit(0).alias("n"))
+    back = links.select(F.col("b").alias("src"), F.col("a").alias("dst"), _part("a", "nb").alias("part"), F.lit(0).alias("n"))
+    own = links.select(F.col("a").alias("v"), F.col("na").alias("n")).unionAll(links.select("b", "nb")).distinct()
+    return out.unionAll(back).unionAll(own.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("part"), "n"))
+
+
 def decompose(links: DataFrame, round_no: int, steps: int = 8, beta: float = 0.35) -> DataFrame:
-    """(v, c): the cluster of each vertex of ``links`` (a, b: bigint ids under 2**58)."""
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a"))
-    ways = checkpointed(both.union(both.select("src", F.col("src").alias("dst")).distinct()))  # a vertex also keeps what it has
-    one = F.lit(1 << ID_BITS)
+    """(v, c), with hubs also n: the cluster of each vertex of ``links`` (a, b: bigint ids under 2**58; see ``with_parts``).
+
+    A hub is joined part by part: each way out of it is in one of its ``n``
+    parts, and what it has to tell is handed to each of them.
+    """
+    ways = checkpointed(_ways(links))
+    one, parts = F.lit(1 << ID_BITS), "part" in ways.columns
 
     def told(value: Column) -> Column:  # a step later at the neighbour; without head start left nothing is passed on
         return F.when(F.col("src") == F.col("dst"), value).when(value >= one, value - one)
 
-    state = ways.groupBy(F.col("dst").alias("v")).agg(F.max(told(_head_start(F.col("src"), round_no, steps, beta))).alias("val"))
+    def heard(rows: DataFrame, value: Column) -> DataFrame:
+        return rows.groupBy(F.col("dst").alias("v")).agg(F.max(told(value)).alias("val"), *([F.max("n").alias("n")] if parts else []))
+
+    state = heard(ways, _head_start(F.col("src"), round_no, steps, beta))
     for _ in range(steps - 1):
-        state = ways.join(state, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.max(told(F.col("val"))).alias("val"))
-    return state.select("v", F.col("val").bitwiseAND(F.lit(MASK)).alias("c"))
+        if parts:
+            state = checkpointed(state)
+            tells = state.select(F.col("v").alias("src"), "val", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+            state = heard(ways.join(tells, ["src", "part"]), F.col("val"))
+        else:
+            state = heard(ways.join(state, F.col("src") == F.col("v")), F.col("val"))
+    return state.select("v", *(["n"] if parts else []), F.col("val").bitwiseAND(F.lit(MASK)).alias("c"))
 
 
 def contract(links: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The links between different clusters, each pair once."""
-    ends = links.join(clusters.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(clusters.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
-    return ends.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-
-
-def component_ids(links: DataFrame, *, steps: int = 8, beta: float = 0.35, most_rounds: int = 60) -> DataFrame:
+    """(a, b): the links between different clusters, each pair once; those of a hub are joined part by part."""
+    ends, on = links.select("a", "b"), {"a": ["a"], "b": ["b"]}
+    told = {end: clusters.select(F.col("v").alias(end), F.col("c").alias(f"c{end}")) for end in on}
+    if "na" in links.columns:
+        each = checkpointed(clusters.select("v", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), "c"))
+        ends, on = links.select("a", "b", _part("b", "na").alias("pa"), _part("a", "nb").alias("pb")), {"a": ["a", "pa"], "b": ["b", "pb"]}
+        told = {end: each.select(F.col("v").alias(end), F.col("part").alias(f"p{end}"), F.col("c").alias(f"c{end}")) for end in on}
+    for end in on:
+        ends = ends.join(told[end], on[end])
+    return ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+
+
+def component_ids(links: DataFrame, *, steps: int = 8, beta: float = 0.35, hub: int = 100_000, most_rounds: int = 60) -> DataFrame:
     """(v, c): for each vertex of ``links`` (a, b) an id that all vertices linked with it share."""
     maps = []
     for n in range(most_rounds):
+        links = with_parts(links, hub)
         clusters = checkpointed(decompose(links, n, steps, beta))
-        maps.append(clusters)
+        maps.append(clusters.select("v", "c"))
         links = checkpointed(contract(links, clusters))
         if links.isEmpty():
             break
@@ -79,13 +131,15 @@ def component_ids(links: DataFrame, *, steps: int = 8, beta: float = 0.35, most_
     return whole
 
 
-def group_members(pairs: DataFrame, *, a: str, b: str, steps: int = 8, beta: float = 0.35) -> DataFrame:
+def group_members(pairs: DataFrame, *, a: str, b: str, steps: int = 8, beta: float = 0.35, hub: int = 100_000) -> DataFrame:
     """(group_id, member): each member of ``pairs`` once, with the smallest member linked to it, directly or not.
 
     A row with two members links them; a row with one (the other null) only
     names it; a row with none is ignored, as are repeated rows and links of a
     member to itself. A member without links is its own group. Strings compare
     by code point. An empty table gives no rows; extra columns are ignored.
+    Members with more than ``hub`` links are joined in parts. The groups are
+    found when the function is called.
     """
     named = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
     links = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -95,7 +149,7 @@ def group_members(pairs: DataFrame, *, a: str, b: str, steps: int = 8, beta: flo
     if linked.isEmpty():
         return members.select(F.col("member").alias("group_id"), "member")
     numbered = links.join(linked.select(F.col("member").alias("a"), F.col("v").alias("va")), "a").join(linked.select(F.col("member").alias("b"), F.col("v").alias("vb")), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    top = component_ids(checkpointed(numbered), steps=steps, beta=beta)
+    top = component_ids(checkpointed(numbered), steps=steps, beta=beta, hub=hub)
     placed = checkpointed(linked.join(top, "v").select("member", "c"))
     least = placed.groupBy("c").agg(F.min("member").alias("group_id"))
     grouped = placed.join(least, "c").select("member", "group_id")

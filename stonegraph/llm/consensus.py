@@ -2,8 +2,10 @@
 
 Each annotator belongs to one of a few communities, whose members share one
 confusion matrix: per kind of item, the chances of the right label, of a wrong
-one that others give too, and of a wrong one given by nobody else. Variational
-updates alternate between the items' labels, the annotators' communities and
+one that others give too, and of a wrong one given by nobody else. What the
+matrices lean on is estimated each round: annotators are ranked by how often
+they are right, and each quarter of them gives one community its prior.
+Variational updates alternate between the items' labels, the annotators' communities and
 the communities' matrices, so that annotators with few labels lean on those
 like them. Matrices and sizes of the communities are all the driver holds; an
 iteration shuffles the labels once, by item.
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from stonegraph.session import checkpointed
 
-#: Communities to begin with: chances of a right label, of a shared and of a lone wrong one.
+#: Chances of a right label, of a shared and of a lone wrong one that communities lean on as far as labels are few.
 START = ((0.95, 0.03, 0.02), (0.80, 0.10, 0.10), (0.60, 0.20, 0.20), (0.35, 0.30, 0.35))
-STRENGTH = 20.0  #: labels that the beginning of a community counts for
+STRENGTH = 20.0  #: labels that these count for
+MANY_ANNOTATORS = 100_000  #: whose weights are broadcast at most; more are joined
+SALTS = 16  #: parts of an annotator's labels where weights are joined
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -67,8 +71,9 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 200, tolerance: float
     labels, reliability (expected share of right labels, drawn towards the
     annotator's community) and community. Rows with a null are left out; of a
     pair given twice the greatest label counts; an empty table gives empty
-    results. A community's beginning weighs ``anchor`` times an even share of all
-    labels, lest all annotators drift into one. RuntimeError if the matrices haven't
+    results. A community's prior, estimated from the labels, weighs ``anchor``
+    times an even share of them, lest all annotators drift into one. Loops run
+    when the function is called. RuntimeError if the matrices haven't
     settled within ``tolerance`` after ``rounds`` rounds. Ties go to the label with more votes, then to the smallest.
     """
     given = votes.where("item is not null and annotator is not null and label is not null").groupBy("item", "annotator").agg(F.max("label").alias("label"))
@@ -76,15 +81,18 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 200, tolerance: float
     count = F.count("*").over(by_text)
     laid = given.select("*", count.alias("same"), F.count("*").over(by_item).alias("voters"), item_kind(F.max(F.struct(F.length("label"), "label")).over(by_item)["label"], kinds).alias("kind"))
     laid = laid.withColumn("rivals", F.round(F.sum(1 / F.col("same")).over(by_item)))
-    laid = checkpointed(laid)
+    laid = checkpointed(laid.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")))
     c = len(START)
+    stats = checkpointed(_stats(_held(laid, None, by_item, by_text), kinds))
+    many = stats.count() > MANY_ANNOTATORS
     strength = max(STRENGTH, anchor * laid.count() / (c * kinds))
-    prior = np.array([[s] * kinds for s in START]) * strength
+    prior = _prior(stats, kinds) * strength
     matrices, sizes = prior.copy(), np.full(c, 1.0)
     weights, last, done = None, None, 0
     for done in range(1, rounds + 1):
-        held = _held(laid, weights, by_item, by_text)
-        stats = _stats(held, kinds)
+        if weights is not None:
+            stats = checkpointed(_stats(_held(laid, weights, by_item, by_text, many), kinds))
+            prior = _prior(stats, kinds) * strength
         stats = _communities(stats, _expected_logs(matrices), _expected_logs(sizes), kinds)
         stats = checkpointed(stats)
         cells = [F.sum(F.col(f"r{i}") * F.col(f"n{k}_{o}")).alias(f"m{i}_{k}_{o}") for i in range(c) for k in range(kinds) for o in range(3)]
@@ -98,7 +106,7 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 200, tolerance: float
         last = now
     else:
         raise RuntimeError(f"the matrices did not settle in {rounds} rounds")
-    held = _held(laid, weights, by_item, by_text)
+    held = _held(laid, weights, by_item, by_text, many)
     ranked = held.groupBy("item", "label").agg(F.round(F.first("support"), 9).alias("support"), F.first("same").alias("same"), F.first("p").alias("p"), F.first("voters").alias("voters"))
     best = F.min_by(F.struct("label", "same", "p", "voters"), F.struct(-F.col("support"), -F.col("same"), F.col("label")))
     items = ranked.groupBy("item").agg(best.alias("b")).select("item", F.col("b.label").alias("consensus"), F.col("b.voters").alias("voters"), (F.col("b.same") / F.col("b.voters")).alias("agreement"), F.col("b.p").alias("certainty"))
@@ -111,13 +119,29 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 200, tolerance: float
     return Consensus(items, annotators, laid, done)
 
 
-def _held(laid: DataFrame, weights: DataFrame | None, by_item, by_text) -> DataFrame:
-    """Votes with the support and the posterior ``p`` of their label; without weights each vote counts one."""
+def _prior(stats: DataFrame, kinds: int) -> np.ndarray:
+    """(community, kind, outcome): chances estimated from the annotators' counts, a quarter of the annotators each, the best first; ``START`` counts for ``STRENGTH`` labels."""
+    c = len(START)
+    cells = [f"n{k}_{o}" for k in range(kinds) for o in range(3)]
+    own, total = (sum((F.col(x) for x in names), F.lit(0.0)) for names in ([f"n{k}_0" for k in range(kinds)], cells))
+    ranked = stats.withColumn("share", F.round((own + STRENGTH * START[1][0]) / (total + STRENGTH), 3))
+    cuts = ranked.agg(F.expr(f"percentile(share, array({', '.join(str(1 - q / c) for q in range(1, c))}))").alias("p")).first()["p"] or [0.0] * (c - 1)
+    quarter = sum((F.when(F.col("share") < x, 1).otherwise(0) for x in cuts), F.lit(0))
+    found = {r["q"]: r for r in ranked.groupBy(quarter.alias("q")).agg(*(F.sum(x).alias(x) for x in cells)).collect()}
+    counts = np.array([[[found[i][f"n{k}_{o}"] if i in found else 0.0 for o in range(3)] for k in range(kinds)] for i in range(c)])
+    counts += STRENGTH * np.array(START)[:, None, :]
+    return counts / counts.sum(-1, keepdims=True)
+
+
+def _held(laid: DataFrame, weights: DataFrame | None, by_item, by_text, many: bool = False) -> DataFrame:
+    """Votes with the support and the posterior ``p`` of their label; without weights each vote counts one. The weights of ``many`` annotators are joined in salted parts, as one annotator may have labelled everything; those of fewer are broadcast."""
     if weights is None:
         rows = laid.withColumn("w", F.lit(1.0))
     else:
         cell = F.expr("w[kind * 2 + if(same > 1, 0, 1)]")
-        rows = laid.join(weights, "annotator").withColumn("w", cell + F.ln(F.col("rivals"))).drop("weights")
+        told = laid.join(weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["annotator", "salt"]) if many else laid.join(F.broadcast(weights), "annotator")
+        rows = told.withColumn("w", cell + F.ln(F.col("rivals")))
+    rows = rows.repartition("item")  # one shuffle for all windows
     rows = rows.withColumn("support", F.sum("w").over(by_text))
     rows = rows.withColumn("e", F.exp(F.col("support") - F.max("support").over(by_item)))
     return rows.withColumn("p", F.col("e") / F.sum(F.col("e") / F.col("same")).over(by_item))

@@ -1,3 +1,6 @@
+import zlib
+
+import numpy as np
 import pytest
 
 from stonegraph.llm import abuse
@@ -56,11 +59,46 @@ def test_swapping_a_group_hardly_changes_a_score():
     assert abs(fx - fy) < 0.1 and abs(fx - fy) <= abs(ux - uy) + 1e-6 and fx < 0.5
 
 
-def test_scores_are_those_of_the_training_rows():
-    w = abuse.np.random.default_rng(0).normal(size=abuse.BUCKETS)
-    scorer, known = abuse.Scorer(w, 0.0, most=5), {}
-    for words in abuse.sentences("Keep Veshlings out, they steal everything. The old old Garth wall. Du Drecksack Du, ja\nx"):
-        assert abs(scorer.sentence(words) - w[abuse.feature_row(words, known)].sum()) < 1e-9
+def test_scores_are_sums_over_different_words_and_pairs():
+    w = np.random.default_rng(0).normal(size=abuse.BUCKETS)
+    texts = ["Keep Veshlings out, they steal everything. The old old Garth wall. Du Drecksack Du, ja\nx", None, "", "so " * 90 + "it is", "42 men! " * 30]
+    want = []
+    for t in texts:
+        worst = -np.inf
+        for words in abuse.sentences(t):
+            of = {x: abuse.word_features(x) for x in words}
+            crc = lambda x: np.array([zlib.crc32(x.encode())])
+            pairs = {int(abuse._mixed(crc(of[a][1]), crc(of[b][1]), n)[0]) for n in (1, 2) for a, b in zip(words, words[n:])}
+            pairs |= {int(abuse._mixed(crc(of[a][2]), crc(of[b][1]), 1)[0]) for a, b in zip(words, words[1:]) if of[a][1] == "«n»"}
+            worst = max(worst, sum(w[of[x][0]].sum() for x in set(words)) + sum(w[p & (abuse.BUCKETS - 1)] for p in pairs))
+        want.append(1 / (1 + np.exp(-worst)))
+    for at_once in (1, 100, 10**6):
+        assert np.allclose(abuse.Scorer(w, 0.0, most=5).texts(texts, at_once), want)
+
+
+def test_what_is_learnt_is_what_is_scored():
+    """The gradient's design matrix and the scorer agree."""
+    words = abuse.Words()
+    ids, window, of = abuse.windows(["Keep Veshlings out, they steal everything. The old old Garth wall.", "A wall"], words)
+    x = abuse.Design(words, None, *abuse.units(ids, window, words), len(of))
+    w = np.random.default_rng(1).normal(size=abuse.BUCKETS)
+    scorer = abuse.Scorer(w, 0.0)
+    ids, window, of = abuse.windows(["Keep Veshlings out, they steal everything. The old old Garth wall.", "A wall"], scorer.words)
+    assert np.allclose(x.dot(w[x.used]), scorer.windows(ids, window, len(of)))
+    g = np.random.default_rng(2).normal(size=len(of))
+    assert np.isclose(x.back(g) @ w[x.used], g @ x.dot(w[x.used]))
+
+
+def test_singular_and_adjective_terms_are_swapped_and_their_gap_told(spark):
+    for text, term in (("A woman drew it.", "woman"), ("A gay couple visited.", "gay"), ("Eine Frau sah es.", "frau"), ("Une femme passait.", "femme")):
+        words = abuse.sentences(text)[0]
+        other = abuse.swapped(words)
+        assert other and sum(a != b for a, b in zip(words, other)) == 1 and abuse.group_of(next(b for a, b in zip(words, other) if a != b)) == abuse.group_of(term)
+    docs, labels = table(spark)
+    gaps = {r.term: r for r in abuse.group_gaps(docs, labels).collect()}
+    assert set(gaps) == {"foreigners", "women", "migrants", "islanders"} and all(0 <= r.mean_gap <= r.greatest_gap <= 1 for r in gaps.values())
+    assert sum(r.sentences for r in gaps.values()) == sum(len([1 for p in abuse.sentences(d.text) if abuse.swapped(p)]) for d in docs.collect())
+    assert abuse.group_gaps(docs.limit(0), labels).count() == 0
 
 
 def test_long_runs_take_linear_time():

@@ -26,15 +26,25 @@ def test_short_null_empty_and_special(spark):
 
 
 @pytest.mark.parametrize("chunk, overlap", [(50, 10), (300, 64)])
-def test_long_texts_are_stitched(spark, monkeypatch, chunk, overlap):
-    monkeypatch.setattr(encode, "CHUNK", chunk)
-    monkeypatch.setattr(encode, "OVERLAP", overlap)
+def test_long_texts_are_stitched(spark, chunk, overlap):
     rnd = random.Random(chunk)
     bits = ["word", " ", "  ", "\n", "don't", "'s", "1234", "é", "ᚐᚋ", "!!", " ", "x" * 90, " " * 80, "…"]
     texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(20, 300))) for _ in range(40)] + ["a" * 2000, " " * 2000, "ᚐ" * 900, "ab " * 700, "a'" * 500]
-    got = run(spark, texts)
+    got = run(spark, texts, chunk=chunk, overlap=overlap)
     assert got == {k: ENC.encode_ordinary(t) for k, t in enumerate(texts)}
-    assert run(spark, texts, lengths_only=True) == {k: len(v) for k, v in got.items()}
+    assert run(spark, texts, lengths_only=True, chunk=chunk, overlap=overlap) == {k: len(v) for k, v in got.items()}
+
+
+def test_repeated_and_null_ids_keep_their_texts(spark):
+    long = [f"stone {k} stands " * 300 for k in range(3)]
+    rows = [(1, long[0]), (1, long[0]), (1, long[1]), (None, long[1]), (None, long[2]), (None, "short"), (None, None)]
+    got = [(r[0], r[1]) for r in encode.encode_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=100, overlap=20).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((k, ENC.encode_ordinary(t) if t else [])) for k, t in rows)
+
+
+def test_overlap_must_fit(spark):
+    with pytest.raises(ValueError):
+        run(spark, ["x"], chunk=10, overlap=11)
 
 
 def test_a_very_long_text(spark):
