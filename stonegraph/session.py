@@ -31,7 +31,7 @@ def partitions_for(df: DataFrame, bytes_each: int = 48 << 20, expansion: float =
     optimizer estimates (compressed files, for a scan).
     """
     spark, size = df.sparkSession, plan_bytes(df)
-    if size > 1 << 50:  # Catalyst doesn't know: data from the driver or from a checkpoint, or a join
+    if size > UNKNOWN:  # Catalyst doesn't know: data from the driver or from a checkpoint, or a join
         return max(shuffle_partitions(spark), df.rdd.getNumPartitions())
     return max(shuffle_partitions(spark), math.ceil(size * expansion / bytes_each))
 
@@ -47,10 +47,22 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+UNKNOWN = 1 << 50  #: bytes beyond which an estimate of Catalyst's tells nothing
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder and read back; a job runs."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the cluster's shared checkpoint folder and read back; a job runs.
+
+    A checkpoint keeps the size estimated for its plan, which multiplies with
+    each join: in a loop it soon has thousands of digits, and planning comes to
+    a halt over them. So where the estimate tells nothing it is dropped.
+    """
+    spark = df.sparkSession
+    _checkpoint_folder(spark)
+    cut = df.checkpoint(eager=True)
+    if plan_bytes(cut) > UNKNOWN:
+        cut = DataFrame(spark._jsparkSession.internalCreateDataFrame(cut._jdf.queryExecution().toRdd(), cut._jdf.schema(), False), spark)
+    return cut
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
