@@ -89,3 +89,15 @@ def hierarchy_pairs(df: DataFrame, *, key: str, chain: str) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(chain)), lambda i: F.array_join(F.reverse(F.slice(F.col(chain), i, F.size(chain))), " > "))
     pairs = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("narrow"), F.slice("s", F.lit(2), F.size("s") - 1).alias("broad"))
     return df.where(F.size(chain) > 1).select(key, suffixes.alias("s")).select(key, F.inline(pairs))
+
+
+def bridges(mentions: DataFrame, *, name: str, place: str) -> DataFrame:
+    """(name, place, first): places that share a name, tied to the smallest of them.
+
+    Every two places of a name are linked by way of its first, so a name met
+    everywhere gives a row for each place and not one for each pair. These are
+    hypotheses, to be kept apart from components of asserted links.
+    """
+    once = mentions.where((F.length(name) > 0) & F.col(place).isNotNull()).select(F.col(name).alias("name"), F.col(place).alias("place")).distinct()
+    first = once.groupBy("name").agg(F.min("place").alias("first"), F.count("*").alias("_n")).where("_n > 1")
+    return once.join(first, "name").where("place <> first").select("name", "place", "first")

@@ -115,3 +115,147 @@ def undrawable(records: DataFrame, holders: DataFrame, *, holder: str, lat: str)
     named = records.where(F.length(F.trim(holder)) > 0)
     why = F.when(F.col(lat).isNull(), "no findspot coordinate").when(~F.coalesce("located", F.lit(False)), "holder not located")
     return named.join(holders, F.trim(holder) == F.col("name"), "left").withColumn("why", why).where("why is not null").drop("name", "located")
+
+
+def settle(records: DataFrame, settled: DataFrame, *, key: str) -> DataFrame:
+    """Records with ``settled``: whether somebody has found that nothing more can be known."""
+    marks = settled.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("settled")).distinct()
+    return records.join(marks, key, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+
+
+def override_verdicts(verdicts: DataFrame, overrides: DataFrame, *, key: str, columns: list[str], note: str) -> DataFrame:
+    """Verdicts replaced by those set by hand: ``columns`` and ``evidence`` (its note, or else the rule's evidence), and ``method`` tells which. ``overrides`` has one row a key; of several the greatest counts."""
+    by_hand = overrides.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*columns, note)).alias("_o"))
+    d = verdicts.join(by_hand, key, "left")
+    use = F.col("_o").isNotNull()
+    d = d.withColumns({c: F.when(use, F.col("_o")[c]).otherwise(F.col(c)) for c in columns})
+    d = d.withColumn("evidence", F.when(use & (F.length(F.col("_o")[note]) > 0), F.col("_o")[note]).otherwise(F.col("evidence")))
+    return d.withColumn("method", F.when(use, "set by hand").otherwise("rule")).drop("_o")
+
+
+def type_fits(kind: Column, classes: Column, labels: Column, wanted: dict[str, list[str]], human: str = "Q5") -> Column:
+    """Whether a candidate is of the kind looked for: an editor is a human, others have one of the kind's words in the label of a type; null if no type is known."""
+    known = (F.size(F.coalesce(classes, F.array().cast("array<string>"))) > 0) | (F.size(F.coalesce(labels, F.array().cast("array<string>"))) > 0)
+    words = reduce(lambda rest, kv: F.when(kind == kv[0], F.array(*map(F.lit, kv[1]))).otherwise(rest), wanted.items(), F.array().cast("array<string>"))
+    fits = F.when(kind == "editor", F.array_contains(classes, human)).otherwise(F.exists(labels, lambda x: F.exists(words, lambda w: F.contains(F.lower(x), w))))
+    return F.when(known, F.coalesce(fits, F.lit(False)))
+
+
+def reconcile(terms: DataFrame, *, allowed: DataFrame, cache: DataFrame, candidates: DataFrame, key: list[str], label: str) -> DataFrame:
+    """(key, qid, confidence, status, type_match, decided_by) of each different term.
+
+    The first of: the list curated by hand (confidence 1), a verified entry of
+    the cache, the best candidate (see ``rank_candidates``), any entry of the
+    cache, nothing. ``allowed`` has qid, ``cache`` qid, confidence and status,
+    ``candidates`` qid, rank, hit and fits.
+    """
+    once = terms.select(*key).where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in key))).distinct()
+    best = rank_candidates(candidates.withColumn("_label", F.col(label)), key=key, label="_label", hit="hit", rank="rank", fits="fits").select(*key, F.col("hit"), F.col("confidence").alias("_cc"), "type_match")
+    best = best.join(candidates.groupBy(*key, "hit").agg(F.min("qid").alias("_cq")), [*key, "hit"])
+    held = cache.groupBy(*key).agg(F.max(F.struct((F.col("status") == "verified").alias("v"), "qid", "confidence")).alias("c"))
+    curated = allowed.where(F.length("qid") > 0).groupBy(*key).agg(F.max("qid").alias("_aq"))
+    d = once.join(curated, key, "left").join(held, key, "left").join(best, key, "left")
+    source = F.when(F.col("_aq").isNotNull(), "curated").when(F.col("c.v") & (F.length("c.qid") > 0), "verified").when(F.col("_cq").isNotNull(), "candidate").when(F.length("c.qid") > 0, "cache").otherwise("")
+    d = d.withColumn("decided_by", source)
+
+    def of(*values: Column) -> Column:
+        return reduce(lambda rest, kv: F.when(F.col("decided_by") == kv[0], kv[1]).otherwise(rest), zip(("curated", "verified", "candidate", "cache"), values), F.lit(None))
+
+    return d.select(
+        *key, of(F.col("_aq"), F.col("c.qid"), F.col("_cq"), F.col("c.qid")).alias("qid"), F.coalesce(of(F.lit(1.0), F.col("c.confidence"), F.col("_cc"), F.col("c.confidence")), F.lit(0.0)).alias("confidence"),
+        of(F.lit("verified"), F.lit("verified"), F.lit("auto"), F.lit("auto")).alias("status"), of(F.lit("curated"), F.lit("ok"), F.col("type_match"), F.lit("unknown")).alias("type_match"), "decided_by",
+    )
+
+
+def locate_holders(holders: DataFrame, by_id: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, qid, lat, lon, decided_by): where each holder is.
+
+    ``holders`` has name, alias_of, qid, osm_id, source, lat and lon; ``by_id``
+    the points of ids (id, lat, lon); ``found`` what a search by name gave
+    (name, qid, rank, in_country, lat, lon). Aliases, holders set by hand and
+    those located without an id are left as they are. One with an id gets that
+    id's point (the qid's before the other's), and if that fails it stays
+    unset: it is never searched. The others get the first hit in the country
+    with a point, then any with one, then one without.
+    """
+    points = by_id.where("lat is not null and lon is not null").groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("at"))
+    hit = found.groupBy("name").agg(F.min_by(F.struct("qid", "lat", "lon"), F.struct(F.col("lat").isNull(), ~F.coalesce("in_country", F.lit(False)), "rank", "qid")).alias("hit"))
+    pinned = (F.length(F.coalesce("qid", F.lit(""))) > 0) | (F.length(F.coalesce("osm_id", F.lit(""))) > 0)
+    h = holders.join(points.select(F.col("id").alias("qid"), F.col("at").alias("at_qid")), "qid", "left").join(points.select(F.col("id").alias("osm_id"), F.col("at").alias("at_osm")), "osm_id", "left").join(hit, "name", "left")
+    why = (
+        F.when(F.length(F.coalesce("alias_of", F.lit(""))) > 0, "alias").when(F.coalesce(F.col("source") == "manual", F.lit(False)), "manual").when(~pinned & F.col("lat").isNotNull(), "located")
+        .when(F.col("at_qid").isNotNull(), "qid").when(F.col("at_osm").isNotNull(), "osm").when(pinned, "pinned, not found").when(F.col("hit").isNotNull(), "search").otherwise("nothing")
+    )
+    h = h.withColumn("decided_by", why)
+
+    def point(c: str) -> Column:
+        return F.when(F.col("decided_by").isin("alias", "manual", "located"), F.col(c)).when(F.col("decided_by") == "qid", F.col("at_qid")[c]).when(F.col("decided_by") == "osm", F.col("at_osm")[c]).when(F.col("decided_by") == "search", F.col("hit")[c])
+
+    qid = F.when(F.col("decided_by") == "search", F.col("hit.qid")).otherwise(F.col("qid"))
+    return h.select("name", qid.alias("qid"), point("lat").alias("lat"), point("lon").alias("lon"), "decided_by")
+
+
+def reset_unverified(cache: DataFrame, columns: list[str], *, status: str = "status") -> DataFrame:
+    """The cache with ``columns`` of all but verified rows emptied, to be found anew; ``reset`` tells which."""
+    again = F.coalesce(F.col(status) != "verified", F.lit(True))
+    return cache.withColumn("reset", again).withColumns({c: F.when(~again, F.col(c)) for c in columns})
+
+
+def pending(names: DataFrame, located: DataFrame, *, name: str) -> DataFrame:
+    """Names that are nowhere located."""
+    return names.where(F.length(F.trim(name)) > 0).select(name).distinct().join(located.select(name).distinct(), name, "left_anti")
+
+
+def suggestions(cache: DataFrame, by_hand: DataFrame, *, key: str, sources: list[str]) -> DataFrame:
+    """Entries found by search, with an id and without an alias, that the list kept by hand lacks."""
+    found = cache.where(F.col("source").isin(sources) & (F.length(F.coalesce("alias_of", F.lit(""))) == 0) & (F.length(F.coalesce("qid", F.lit(""))) > 0))
+    return found.join(by_hand.select(key).distinct(), key, "left_anti")
+
+
+#: Complaints about identifiers set by hand, as conditions over key, qid, osm_id, lat and lon (strings).
+IDENTIFIER_COMPLAINTS = {
+    "no key": "length(trim(coalesce(key, ''))) = 0",
+    "bad qid": "qid <> '' AND NOT regexp_like(qid, '^Q[0-9]+$')",
+    "bad osm id": "osm_id <> '' AND NOT regexp_like(osm_id, '^[NWR][0-9]+$')",
+    "lat and lon must be given together": "(coalesce(lat, '') = '') <> (coalesce(lon, '') = '')",
+    "not a number": "(lat <> '' AND try_cast(lat AS double) IS NULL) OR (lon <> '' AND try_cast(lon AS double) IS NULL)",
+    "not on earth": "abs(try_cast(lat AS double)) > 90 OR abs(try_cast(lon AS double)) > 180",
+    "alias of itself": "key = alias_of",
+}
+
+
+def identifier_complaints(entries: DataFrame, keys: DataFrame, *, ignored: list[str]) -> DataFrame:
+    """(key, complaint) for each entry of identifiers set by hand: malformed values, keys that ``keys`` (key) lacks, and ``ignored`` columns that are filled in beside an alias."""
+    own = lint(entries, key="key", complaints={n: F.expr(c) for n, c in IDENTIFIER_COMPLAINTS.items()})
+    unknown = entries.where("length(trim(key)) > 0").select("key").distinct().join(keys.select("key").distinct(), "key", "left_anti").select("key", F.lit("unknown key").alias("complaint"))
+    filled = reduce(lambda x, y: x | y, (F.length(F.coalesce(c, F.lit(""))) > 0 for c in ignored))
+    beside = entries.where((F.length("alias_of") > 0) & filled).select("key", F.lit("ignored beside an alias").alias("complaint"))
+    return own.unionByName(unknown).unionByName(beside)
+
+
+def unknown_fields(entries: DataFrame, *, key: str, fields: str, known: list[str]) -> DataFrame:
+    """(key, field): names in a map of fields that aren't known."""
+    return entries.select(F.col(key), F.explode(F.array_except(F.map_keys(fields), F.array(*map(F.lit, known)))).alias("field"))
+
+
+def first_of_forms(names: DataFrame, labels: DataFrame, forms: list[Column], *, name: str) -> DataFrame:
+    """(name, uri, form): the uri of the first of several forms of a name that is a published label, and the form's number from 1; of several uris of a label the smallest counts. Names without one are left out."""
+    published = labels.groupBy("label").agg(F.min("uri").alias("uri"))
+    tried = names.select(name).distinct().select(name, F.posexplode(F.array(*forms)).alias("form", "label"))
+    hits = tried.join(published, "label").groupBy(name).agg(F.min(F.struct("form", "uri")).alias("b"))
+    return hits.select(name, "b.uri", (F.col("b.form") + 1).alias("form"))
+
+
+def pair_readings(readings: DataFrame, *, stone: str, script: str, current: str, order: str) -> DataFrame:
+    """Each competing reading with the current one of its stone and script: ``current_text`` beside ``text``. Of several current ones the first by ``order`` counts; the side joined is one row a stone and script."""
+    fixed = readings.where(F.col(current)).groupBy(stone, script).agg(F.min_by("text", order).alias("current_text"))
+    return readings.where(~F.col(current)).join(fixed, [stone, script])
+
+
+def edge_slots(edges: DataFrame, slots: DataFrame, *, a: str, b: str) -> DataFrame:
+    """Edges with the surfaces of both their ends: of a slot seen several times the last one (by ``ord``) counts. ``slots`` has slot, surface and ord."""
+    last = slots.groupBy("slot").agg(F.max_by("surface", "ord").alias("surface"))
+    out = edges
+    for end in (a, b):
+        out = out.join(last.select(F.col("slot").alias(end), F.col("surface").alias(f"{end}_surface")), end, "left")
+    return out
