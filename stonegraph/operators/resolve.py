@@ -76,7 +76,7 @@ def compare_readings(pairs: DataFrame, *, current: str, other: str, formula: dic
     d = d.withColumn("_fa", meant("_a")).withColumn("_fb", meant("_b"))
     return d.select(
         *pairs.columns, "current_norm", "other_norm", text.only_in(F.col("_a"), F.col("_b")).alias("only_current"), text.only_in(F.col("_b"), F.col("_a")).alias("only_other"),
-        F.array_sort(F.array_except("_fb", "_fa")).alias("gained"), F.array_sort(F.array_except("_fa", "_fb")).alias("lost"), F.bround("_r", 3).alias("ratio"), text.band(F.col("_r")).alias("ratio_band"),
+        F.array_sort(F.array_except("_fb", "_fa")).alias("gained"), F.array_sort(F.array_except("_fa", "_fb")).alias("lost"), text.round_even(F.col("_r"), 3).alias("ratio"), text.band(F.col("_r")).alias("ratio_band"),
     )
 
 

@@ -42,15 +42,18 @@ def first_match(rules: list[tuple[Column, Column]], otherwise: Column) -> Column
 
 def classify_setting(repository: Column, observed: Column) -> Column:
     """struct(key, custody, matched): the first setting that fits. ``matched`` is the wording, cut to 38 characters, or the repository."""
-    low = F.lower(F.trim(F.coalesce(observed, F.lit(""))))
     held = F.coalesce(F.length(repository) > 0, F.lit(False))
 
     def verdict(key: str, custody: str, matched: Column) -> Column:
         return F.struct(F.lit(key).alias("key"), F.lit(custody).alias("custody"), F.coalesce(matched, F.lit("")).alias("matched"))
 
-    rules = [(low.rlike(p), verdict(k, c, F.substring(F.regexp_substr(low, F.lit(p)), 1, 38))) if p else (held, verdict(k, c, repository)) for k, c, p in SETTINGS]
-    rules.append((low.rlike(INSTITUTION), verdict("institution_unrecorded", "institution", F.lit(""))))
-    return first_match(rules, verdict("undescribed", "undescribed", F.lit("")))
+    def of(low: Column) -> Column:
+        rules = [(low.rlike(p), verdict(k, c, F.substring(F.regexp_substr(low, F.lit(p)), 1, 38))) if p else (held, verdict(k, c, repository)) for k, c, p in SETTINGS]
+        rules.append((low.rlike(INSTITUTION), verdict("institution_unrecorded", "institution", F.lit(""))))
+        return first_match(rules, verdict("undescribed", "undescribed", F.lit("")))
+
+    # bound in a lambda, the text is put in small letters once and not in every branch
+    return F.get(F.transform(F.array(F.lower(F.trim(F.coalesce(observed, F.lit(""))))), of), F.lit(0))
 
 
 def classify_tag(tag: Column) -> Column:

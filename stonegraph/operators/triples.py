@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonegraph.functions import text
 from stonegraph.operators.graph import closure
+from stonegraph.operators.reports import numbered_globally
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -156,7 +157,7 @@ def word_graph(matches: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def person_graph(persons: DataFrame) -> DataFrame:
     """Named ends and their relations: ``persons`` has stone, from_id, to_id, lemma, gloss, is_kin, is_parent, uncertain, edge_no."""
     src, dst = node("person_", F.col("from_id")), F.when(F.col("is_kin"), node("tribe_", F.col("to_id"))).otherwise(node("person_", F.col("to_id")))
-    st, stone = node("relation_", F.col("stone"), F.col("edge_no").cast("string")), node("stone_", F.col("stone"))
+    st, stone = node("relation_", F.col("edge_no").cast("string")), node("stone_", F.col("stone"))
     plain = ~F.col("is_kin")
     weight = F.when(F.col("uncertain"), 0.9).otherwise(1.0)
     return emit(
@@ -229,5 +230,74 @@ def patch(graph: DataFrame, *, remove: DataFrame, add: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *, order: list[str]) -> DataFrame:
-    """Rows of each stone numbered from 0 in a total order (columns of ``order``)."""
-    return df.withColumn("edge_no", F.row_number().over(Window.partitionBy("stone").orderBy(*order)) - 1)
+    """Rows numbered from 0 through all stones, in the order of stone and ``order``."""
+    return numbered_globally(df, order=["stone", *order], name="edge_no")
+
+
+def provenance_graph(snapshots: DataFrame, *, graph: str, agent: str) -> DataFrame:
+    """Where a graph comes from: ``snapshots`` has commit, source, date and subject."""
+    g, made, who = F.lit(DATA + graph), node("snapshot_", F.col("commit")), F.lit(DATA + "agent_" + agent)
+    return emit(
+        snapshots, a(g, PROV + "Entity"), a(made, PROV + "Entity"), uri(g, PROV + "wasDerivedFrom", made), literal(made, RDFS + "label", F.col("commit")), (F.length("source") > 0, literal(made, PROV + "atLocation", F.col("source"))),
+        (F.col("date").isNotNull(), literal(made, PROV + "generatedAtTime", F.col("date"), XSD + "dateTime")), (F.length("subject") > 0, literal(made, RDFS + "comment", F.col("subject"))), a(who, PROV + "Agent"), uri(g, PROV + "wasAttributedTo", who),
+    )
+
+
+def class_graph(mapping: DataFrame, top: str = CRM + "E1_CRM_Entity") -> DataFrame:
+    """The classes of a mapping as a chain: ``mapping`` has app, domain and crm, each below the next, ``top`` above all; rows with a null part give no chain (see ``mapping_gaps``)."""
+    m = mapping.where("app is not null and domain is not null and crm is not null")
+    links = [(F.col("app"), F.col("domain")), (F.col("domain"), F.col("crm")), (F.col("crm"), F.lit(top)), (F.lit(top), F.lit(OWL + "Thing"))]
+    made = [t for child, parent in links for t in ((child != parent, uri(child, RDFS + "subClassOf", parent)), a(child, OWL + "Class"))]
+    return emit(m, *made, literal(F.col("app"), RDFS + "label", F.regexp_extract("app", "[^/#]*$", 0)))
+
+
+def mapping_gaps(mapping: DataFrame) -> DataFrame:
+    """(app, gap): rows of a mapping that lack a part, and classes that are their own parent."""
+    gaps = F.filter(F.array(*(F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit(f"no {c}")) for c in ("domain", "crm")), F.when((F.col("app") == F.col("domain")) | (F.col("domain") == F.col("crm")), F.lit("its own parent"))), lambda x: x.isNotNull())
+    return mapping.select("app", F.explode(gaps).alias("gap"))
+
+
+def subclass_claims(claims: DataFrame, supers: DataFrame) -> DataFrame:
+    """(child, parent, same_name): claims of a class tree that ``supers`` (node, ancestor) doesn't entail, and whether both have one local name."""
+    entailed = supers.select(F.col("node").alias("child"), F.col("ancestor").alias("parent")).distinct()
+    local = [F.regexp_extract(c, "[^/#]*$", 0) for c in ("child", "parent")]
+    return claims.select("child", "parent").distinct().join(entailed, ["child", "parent"], "left_anti").withColumn("same_name", local[0] == local[1])
+
+
+def later_wins(reference: DataFrame, *, order: str) -> DataFrame:
+    """Of several domains or ranges of one property the one declared last (by ``order``); all other triples as they are."""
+    told = F.col("p").isin(RDFS + "domain", RDFS + "range")
+    last = reference.where(told).groupBy("s", "p").agg(F.max(F.struct(order, "o", "kind")).alias("v")).select("s", "p", "v.o", "v.kind")
+    return reference.where(~told).select("s", "p", "o", "kind").unionByName(last)
+
+
+def check(data: DataFrame, reference: DataFrame, tree: DataFrame, *, watched: list[str], local: str = DOMAIN) -> DataFrame:
+    """(kind, term, position, n, example): all checks of a graph as one report: terms that no reference triple is about, and nodes whose types break a domain or range, with the smallest such node."""
+    supers = closure(tree, child="child", parent="parent")
+    known = reference.select(F.col("s").alias("term")).union(tree.select("child"))
+    terms = unknown_terms(data, known, watched=watched, local=local).select(F.when(F.col("new_local"), "new local term").otherwise("unknown term").alias("kind"), "term", "position", F.col("uses").alias("n"), F.lit("").alias("example"))
+    broken = [violations(data, constraints(reference, RDFS + position), supers, end=end, position=position) for end, position in (("s", "domain"), ("o", "range"))]
+    counted = broken[0].unionByName(broken[1]).groupBy("property", "position").agg(F.count("*").alias("n"), F.min("node").alias("example"))
+    return terms.unionByName(counted.select(F.lit("violation").alias("kind"), F.col("property").alias("term"), "position", "n", "example"))
+
+
+def turtle(graph: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """(subject, block): each subject's triples as a block of Turtle, by predicate; the prefixes' lines are ``turtle_head``."""
+    def short(c: Column) -> Column:
+        done = text.curie(c, prefixes)
+        plain = done.rlike(r"^[a-z]+:[A-Za-z_][A-Za-z0-9_\-]*$")
+        return F.when(plain & (done != c), done).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+
+    esc = F.col("o")
+    for x, y in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        esc = F.replace(esc, F.lit(x), F.lit(y))
+    tail = F.when(F.col("lang") != "", F.concat(F.lit("@"), F.col("lang"))).when(F.col("dtype") != "", F.concat(F.lit("^^"), short(F.col("dtype")))).otherwise("")
+    obj = F.when(F.col("kind") == "uri", short(F.col("o"))).otherwise(F.concat(F.lit('"'), esc, F.lit('"'), tail))
+    rows = graph.select("s", short(F.col("s")).alias("subject"), F.when(F.col("p") == RDF + "type", "a").otherwise(short(F.col("p"))).alias("p"), obj.alias("o"))
+    each = rows.groupBy("s", "subject", "p").agg(F.array_join(F.array_sort(F.collect_list("o")), ", ").alias("o"))
+    blocks = each.groupBy("s", "subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "o"))), lambda x: F.concat(x["p"], F.lit(" "), x["o"])), " ;\n    ").alias("body"))
+    return blocks.select(F.col("s").alias("subject"), F.concat("subject", F.lit(" "), "body", F.lit(" .")).alias("block"))
+
+
+def turtle_head(prefixes: dict[str, str]) -> str:
+    return "".join(f"@prefix {k}: <{v}> .\n" for k, v in prefixes.items())

@@ -516,11 +516,6 @@ def edition_readings(spark: SparkSession, d: str) -> DataFrame:
     return editions.readings(_records(spark, d))
 
 
-@query()
-def edition_relations(spark: SparkSession, d: str) -> DataFrame:
-    return editions.relations(_records(spark, d)).select("*", rules.relation_parts(F.col("lemma")).alias("r")).select("record", "phrase", "pos", "from_id", "to_id", "lemma", "surface", "uncertain", "r.gloss", "r.is_kin")
-
-
 @query()
 def tag_inventory(spark: SparkSession, d: str) -> DataFrame:
     tags = _records(spark, d).select("record", F.explode("tags").alias("t"))
@@ -591,13 +586,6 @@ def keeper_triples(spark: SparkSession, d: str) -> DataFrame:
     return triples.keeper_graph(h).groupBy("p").agg(F.count("*").alias("n"))
 
 
-@query()
-def person_triples(spark: SparkSession, d: str) -> DataFrame:
-    r = editions.relations(_records(spark, d)).withColumn("r", rules.relation_parts(F.col("lemma"))).withColumnRenamed("record", "stone")
-    rows = triples.numbered(r, order=["phrase", "pos"]).select("stone", "from_id", "to_id", "lemma", "r.gloss", "r.is_kin", F.array_contains("r.kinds", "parent").alias("is_parent"), "uncertain", "edge_no")
-    return triples.person_graph(rows)
-
-
 @query()
 def place_triples(spark: SparkSession, d: str) -> DataFrame:
     return triples.place_graph(editions.places(_records(spark, d)))
