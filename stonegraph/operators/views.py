@@ -52,3 +52,15 @@ def points_geojson(df: DataFrame, *, lat: str, lon: str, properties: list[str])
     pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in properties)), lambda x: F.coalesce(x["v"], F.lit("")) != "")
     shape = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates"))
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.map_from_entries(pairs).alias("properties"))).alias("feature"))
+
+
+def slim(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(record): each row as compact JSON for a page: columns under short names, empty values left out."""
+    fields = [F.when(F.length(F.col(c).cast("string")) > 0, F.col(c)).alias(short) for c, short in names.items()]
+    return df.select(F.to_json(F.struct(*fields)).alias("record"))
+
+
+def centroids(points: DataFrame, *, key: str, lat: str, lon: str) -> DataFrame:
+    """(key, lat, lon, n): the mean of each key's points, summed as decimals so that the order of rows changes nothing."""
+    there = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    return there.groupBy(key).agg(*(F.avg(F.col(c).cast("decimal(20,9)")).cast("double").alias(name) for c, name in ((lat, "lat"), (lon, "lon"))), F.count("*").alias("n"))

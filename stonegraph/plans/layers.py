@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stonegraph.functions import text
+from stonegraph import sinks
 from stonegraph.operators import graph, reports, resolve, rules, views
 from stonegraph.operators.snapshot import plain_path
+from stonegraph.plans.dealt import CHANGED, p1_found
 from stonegraph.plans.queries import DISTANCES, EDGES, _distances
 from stonegraph.session import table
+from stonegraph.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -345,3 +348,27 @@ def hits_by_word(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT repository, CASE WHEN length(repository) > 20 THEN replace(repository[:19] || '…', '|', '\\|') ELSE replace(repository, '|', '\\|') END AS cell FROM keeper_coordinates")
 def markdown_cells(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "keeper_coordinates").select("repository", reports.markdown_cells(F.col("repository"), 20).alias("cell"))
+
+
+@query("SELECT json_merge_patch('{}', json_object('id', nullif(ogham_id, ''), 't', nullif(title, ''), 'c', nullif(findspot_county, '')))::VARCHAR AS record FROM keepers WHERE ogham_id <> '' OR title <> '' OR findspot_county <> ''")
+def slim_records(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "keepers").where("ogham_id <> '' OR title <> '' OR findspot_county <> ''")
+    return views.slim(k, {"ogham_id": "id", "title": "t", "findspot_county": "c"})
+
+
+@query("SELECT keeper_qid, round(CAST(avg(CAST(keeper_lat AS DECIMAL(20, 9))) AS DOUBLE), 6) AS lat, round(CAST(avg(CAST(keeper_lon AS DECIMAL(20, 9))) AS DOUBLE), 6) AS lon, count(*) AS n FROM keepers WHERE keeper_qid <> '' AND keeper_lat IS NOT NULL AND keeper_lon IS NOT NULL GROUP BY keeper_qid")
+def centroids(spark: SparkSession, d: str) -> DataFrame:
+    c = views.centroids(table(spark, d, "keepers").where("keeper_qid <> ''"), key="keeper_qid", lat="keeper_lat", lon="keeper_lon")
+    return c.select("keeper_qid", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n")
+
+
+@query("SELECT kind, label, arg_max(qid, confidence_order) AS qid, arg_max(confidence, confidence_order) AS confidence FROM (SELECT kind, label, qid, coalesce(confidence, 0.0) AS confidence, coalesce(wd_label, '') AS confidence_order FROM wikidata_links WHERE length(kind) > 0 AND length(label) > 0) GROUP BY kind, label")
+def links_cache(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "wikidata_links").select("kind", "label", F.coalesce("qid", F.lit("")).alias("qid"), "confidence", F.coalesce("wd_label", F.lit("")).alias("line"))
+    return tables.links_cache(w, key=["kind", "label"], order="line").select("kind", "label", F.nullif("qid", F.lit("")).alias("qid"), "confidence")
+
+
+@query(CHANGED + "SELECT commit, change, count(*) AS n, array_to_string(list_sort(list(path))[1:12], ', ') AS shown, greatest(count(*) - 12, 0) AS more FROM changes GROUP BY commit, change")
+def change_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The report on a corpus that changed: of each kind the number and the first twelve paths."""
+    return sinks.change_lines(p1_found(spark, d), by="commit", key="path", change="change")

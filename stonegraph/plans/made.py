@@ -12,6 +12,7 @@ from stonegraph.operators import nested, resolve, rules, triples
 from stonegraph.plans.layers import LETTERS, _letters
 from stonegraph.plans.queries import NORM, SLUG, STAR, UPS, VOCABULARY, _ontology, _star, _ups
 from stonegraph.session import table
+from stonegraph.sinks import report
 from stonegraph.sources import editions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,7 +95,7 @@ def _apps(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("stone", F.format_string(HEAD, "stone", "stone", xml).alias("content"))
 
 
-@query(f"WITH {APPS} SELECT stone AS record, CAST(no AS INTEGER) AS reading_no, false AS current, code || year AS reading_id, coalesce(map {{{CODES}}}[code], upper(left(code, 1)) || lower(code[2:])) || ' ' || year AS editor, 'ogham' AS script, t AS text, t AS normalised FROM q")
+@query(f"WITH {APPS} SELECT stone AS record, CAST(no AS INTEGER) AS reading_no, false AS current, code || year AS reading_id, coalesce(map {{{CODES}}}[code], upper(left(code, 1)) || lower(code[2:])) || ' ' || year AS editor, 'ogham' AS script, t AS text, trim(regexp_replace(t, '(?i)vacat\\b', ' ')) AS normalised FROM q")
 def made_readings(spark: SparkSession, d: str) -> DataFrame:
     return editions.readings(editions.read_records(_apps(spark, d), key="stone", content="content"))
 
@@ -141,6 +142,19 @@ def made_place_triples(spark: SparkSession, d: str) -> DataFrame:
     return triples.place_graph(editions.places(editions.read_records(_spots(spark, d), key="stone", content="content"))).select("s", "p", "o")
 
 
+@query(f"WITH {SPOTS} SELECT stone, county AS place, 1.5 AS lat, 2.5 AS lon, stone AS filename, 0 AS names FROM l")
+def made_stones(spark: SparkSession, d: str) -> DataFrame:
+    x = editions.stones(editions.read_records(_spots(spark, d), key="stone", content="content"))
+    return x.select("stone", "place", "lat", "lon", F.try_element_at("ids", F.lit("filename")).alias("filename"), F.size("names").alias("names"))
+
+
+@query(f"WITH {SPOTS} SELECT stone AS ogham_id, stone AS title, county AS pn_county, country AS pn_country, '1.5, 2.5' AS geo_raw, 'asserted' AS geo_status, 1.5 AS lat, 2.5 AS lon FROM l")
+def place_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The places' report: its fixed fields, of which the ones that are filled here."""
+    rows = report(editions.place_rows(editions.read_records(_spots(spark, d), key="stone", content="content")), "places")
+    return rows.select("ogham_id", "title", "pn_county", "pn_country", "geo_raw", "geo_status", "lat", "lon")
+
+
 LINK = "'https://gazetteer.example.org/entity/' || replace(county, ' ', '_')"
 
 

@@ -226,7 +226,7 @@ def hex_legend(spark: SparkSession, d: str) -> DataFrame:
     return views.legend(views.hexbin(table(spark, d, "keepers").where(VALID), lat="findspot_lat", lon="findspot_lon", size=SIZE))
 
 
-@query()
+@query(f"""SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || findspot_lon || ',' || findspot_lat || ']}},"properties":' || json_merge_patch('{{}}', json_object('ogham_id', nullif(ogham_id, ''), 'title', nullif(title, ''), 'findspot_county', nullif(findspot_county, ''), 'keeper', nullif(keeper, ''))) || '}}' AS feature FROM keepers WHERE {VALID}""")
 def points_geojson(spark: SparkSession, d: str) -> DataFrame:
     return views.points_geojson(table(spark, d, "keepers").where(VALID), lat="findspot_lat", lon="findspot_lon", properties=["ogham_id", "title", "findspot_county", "keeper"])
 

@@ -23,12 +23,12 @@ _TAG = pa.struct([("tag", pa.string()), ("n", pa.int32())])
 SCHEMA = pa.schema([
     ("record", pa.string()), ("recovered", pa.bool_()), ("ids", pa.map_(pa.string(), pa.string())), ("title", pa.string()), ("page", pa.string()), ("repository", pa.string()), ("material", pa.string()), ("object_type", pa.string()),
     ("has_place", pa.bool_()), ("place_text", pa.string()), ("places", pa.list_(_PLACE)), ("geo_raw", pa.string()), ("geo_cert", pa.string()), ("notes", pa.list_(pa.string())), ("links", pa.list_(pa.string())), ("observed", pa.string()),
-    ("responsible", pa.string()), ("readings", pa.list_(_READING)), ("parts", pa.list_(_PART)), ("names", pa.list_(pa.string())), ("name_texts", pa.list_(pa.string())), ("tags", pa.list_(_TAG)),
+    ("last_ids", pa.map_(pa.string(), pa.string())), ("any_geo", pa.string()), ("first_place", pa.string()), ("responsible", pa.string()), ("readings", pa.list_(_READING)), ("parts", pa.list_(_PART)), ("names", pa.list_(pa.string())), ("name_texts", pa.list_(pa.string())), ("tags", pa.list_(_TAG)),
 ])
 DDL = (
     "record string, recovered boolean, ids map<string,string>, title string, page string, repository string, material string, object_type string, has_place boolean, place_text string, "
     "places array<struct<type:string,raw:string,vernacular:array<struct<lang:string,form:string>>,links:array<string>>>, geo_raw string, geo_cert string, notes array<string>, links array<string>, observed string, "
-    "responsible string, readings array<struct<source:string,note:string,text:string,current:boolean>>, parts array<struct<phrase:int,pos:int,kind:string,ref:string,surface:string>>, names array<string>, name_texts array<string>, tags array<struct<tag:string,n:int>>"
+    "last_ids map<string,string>, any_geo string, first_place string, responsible string, readings array<struct<source:string,note:string,text:string,current:boolean>>, parts array<struct<phrase:int,pos:int,kind:string,ref:string,surface:string>>, names array<string>, name_texts array<string>, tags array<struct<tag:string,n:int>>"
 )
 LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 
@@ -134,7 +134,8 @@ def record(content: str | None, strict: bool = False) -> dict | None:
         "recovered": recovered, "ids": list(ids.items()), "title": _text(_first(root, "title")), "page": "" if page is None else page.get("corresp", ""), "repository": _text(_first(root, "msIdentifier", "repository")),
         "material": _text(_first(root, "material")), "object_type": _text(_first(root, "objectType")), "has_place": place is not None, "place_text": _text(place), "places": places,
         "geo_raw": _text(geo_el), "geo_cert": "" if geo_el is None else geo_el.get("cert", ""), "notes": [_text(x) for x in _all(place, "note")], "links": [r.get("target") for r in _all(place, "ref") if r.get("target")],
-        "observed": " ".join(_text(p) for p in _all(root, "provenance") if p.get("type") == "observed" and _text(p)), "responsible": "" if shown is None else (shown.get("resp") or "").lstrip("#"),
+        "observed": " ".join(_text(p) for p in _all(root, "provenance") if p.get("type") == "observed" and _text(p)), "last_ids": list({x.get("type"): (x.text or "").strip() for x in numbered}.items()), "any_geo": _text(_first(root, "geo")), "first_place": _text(_first(root, "placeName")),
+        "responsible": "" if shown is None else (shown.get("resp") or "").lstrip("#"),
         "readings": [r for r in readings if r["text"]], "parts": parts, "names": [x.get("nymRef") for x in _all(root, "name") if x.get("nymRef")], "name_texts": list(shown_names.values()), "tags": [{"tag": t, "n": k} for t, k in sorted(Counter(_name(x) for x in root.iter() if _name(x)).items())],
     }
 
@@ -235,3 +236,33 @@ def relations(records: DataFrame) -> DataFrame:
     )
     lemmas = F.transform("w", lambda x: F.regexp_replace(x["ref"], r"\?+$", ""))
     return rel.where("from_id is not null and to_id is not null").select("record", "phrase", F.col("w")[0]["pos"].alias("pos"), "from_id", "to_id", F.array_join(lemmas, "+").alias("lemma"), F.array_join(F.transform("w", lambda x: x["surface"]), " ").alias("surface"), F.exists("w", lambda x: x["ref"].endswith("?")).alias("uncertain"))
+
+
+SYSTEMS = ["filename", "CIIC", "CISP", "TM", "SMR"]
+DECIMALS = r"(-?\d+\.\d+)[^\d-]+(-?\d+\.\d+)"
+
+
+def stones(records: DataFrame) -> DataFrame:
+    """Stone records, as ``stone_graph`` takes them.
+
+    Of several ids of one system the last counts, be it empty. The place is the
+    first named one, or what is said of the origin up to its first digit; the
+    coordinates are the first two decimal numbers of the first ``geo`` anywhere.
+    """
+    ids = F.map_filter("last_ids", lambda k, v: k.isin(*SYSTEMS) & (v != ""))
+    stone = text.stone_key(F.try_element_at("last_ids", F.lit("filename")), F.try_element_at("last_ids", F.lit("CIIC")))
+    place = F.coalesce(F.nullif("first_place", F.lit("")), F.trim(F.regexp_extract(F.coalesce("place_text", F.lit("")), r"^([^0-9]*)", 1)))
+    point = [F.nullif(F.regexp_extract("any_geo", DECIMALS, n), F.lit("")).cast("double") for n in (1, 2)]
+    current = F.get(F.filter("readings", lambda r: r["current"]), F.lit(0))["text"]
+    return records.select("record", stone.alias("stone"), "title", F.coalesce(F.nullif("title", F.lit("")), stone).alias("label"), ids.alias("ids"), "object_type", "material", F.coalesce(current, F.lit("")).alias("inscription"), place.alias("place"), point[0].alias("lat"), point[1].alias("lon"), F.col("name_texts").alias("names"))
+
+
+def place_rows(records: DataFrame) -> DataFrame:
+    """Places in one flat row each, a column for each level of names: the fields of the places' report."""
+    p = places(records)
+
+    def level(name: str) -> Column:
+        return F.coalesce(F.get(F.filter("hierarchy", lambda h: h["level"] == name), F.lit(0))["label"], F.lit("")).alias(f"pn_{name}")
+
+    forms = F.flatten(F.transform("hierarchy", lambda h: F.transform(h["vernacular"], lambda v: v["form"])))
+    return p.select("record", F.col("edition_id").alias("ogham_id"), "stone_key", "title", F.col("number").alias("ciic"), F.col("page_id").alias("cisp"), F.col("page").alias("cisp_url"), "repository", *map(level, text.PLACE_LEVELS), F.array_join(forms, " | ").alias("pn_vernacular"), F.array_join(F.transform("other_names", lambda o: o["label"]), " | ").alias("other_names"), F.col("gazetteer").alias("gazetteer_uris"), "geo_raw", "geo_cert", F.col("hedge").alias("geo_hedge"), "geo_status", "lat", "lon", "grid_raw", F.col("place_text").alias("origplace_text"))
