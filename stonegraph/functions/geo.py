@@ -34,7 +34,10 @@ def parse_coordinate(raw: Column) -> Column:
     return F.struct(F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"), F.when(ok, hedge).otherwise(t).alias("hedge"))
 
 
-def coordinate_status(raw: Column, cert: Column, parsed: Column) -> Column:
+def coordinate_status(raw: Column, cert: Column, parsed: Column, supplied: Column | None = None) -> Column:
+    """missing, textual_only, qualified (a doubt is marked or follows), asserted, or supplied (filled in from elsewhere)."""
+    if supplied is not None:
+        return F.when(supplied, "supplied").otherwise(coordinate_status(raw, cert, parsed))
     blank = F.coalesce(F.trim(raw), F.lit("")) == ""
     return F.when(parsed["lat"].isNull() & blank, "missing").when(parsed["lat"].isNull(), "textual_only").when((F.coalesce(cert, F.lit("")) != "") | (parsed["hedge"] != ""), "qualified").otherwise("asserted")
 

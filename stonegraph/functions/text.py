@@ -105,6 +105,21 @@ def editor_label(c: Column, prefixes: dict[str, str] = EDITOR_PREFIXES) -> Colum
     return F.when(name != "", F.concat(F.coalesce(F.try_element_at(known, F.upper(name)), F.initcap(name)), F.lit(" "), year)).otherwise("")
 
 
+# The editors that a stone's own graph knows by name.
+EDITION_PREFIXES = {k: EDITOR_PREFIXES[k] for k in ("RHY", "MAC", "DIA", "JAC", "FOR")}
+
+
+def edition_label(c: Column) -> Column:
+    """As ``editor_label`` with fewer names; other forms stand as they are, nothing is ``OGHAM edition``."""
+    label = editor_label(c, EDITION_PREFIXES)
+    return F.when(label != "", label).otherwise(F.coalesce(F.nullif(c, F.lit("")), F.lit("OGHAM edition")))
+
+
+def utc_stamp(c: Column) -> Column:
+    """An instant as ``2024-01-31T12:00:00Z``, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def attribution(c: Column) -> Column:
     """The surname and year of the first ``Some Name (1945`` in a note; '' without one."""
     pattern = r"([A-Z][\w’'\-]+(?:\s+[A-Z][\w’'\-]+)*?)\s*\((\d{4})"

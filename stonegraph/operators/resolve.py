@@ -259,3 +259,11 @@ def edge_slots(edges: DataFrame, slots: DataFrame, *, a: str, b: str) -> DataFra
     for end in (a, b):
         out = out.join(last.select(F.col("slot").alias(end), F.col("surface").alias(f"{end}_surface")), end, "left")
     return out
+
+
+def identifier_kinds(entries: DataFrame) -> DataFrame:
+    """Entries with ``kind``: what locates each: an alias, an id, a point, or nothing."""
+    def given(c: str) -> Column:
+        return F.length(F.coalesce(c, F.lit(""))) > 0
+
+    return entries.withColumn("kind", F.when(given("alias_of"), "alias").when(given("qid"), "qid").when(given("osm_id"), "osm").when(given("lat"), "point").otherwise("empty"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stonegraph.functions import text
 from stonegraph.operators.graph import closure
 from stonegraph.operators.reports import numbered_globally
+from stonegraph.session import checkpointed
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -73,7 +74,8 @@ def n_triples(graph: DataFrame) -> DataFrame:
 
 
 def place_graph(places: DataFrame) -> DataFrame:
-    """Stones, findspots and the chains of named places (key of a place: its whole ancestry, broadest first)."""
+    """Stones, findspots and the chains of named places (key of a place: its whole ancestry, broadest first). The places are checkpointed when this is called, as three parts of the graph are made of them."""
+    places = checkpointed(places)
     stone, spot = node("stone_", F.col("stone_key")), node("findspot_", F.col("stone_key"))
     has = (F.size("hierarchy") > 0) | F.col("lat").isNotNull()
     labels = F.transform("hierarchy", lambda h: h["label"])
@@ -180,10 +182,10 @@ def union_members(graph: DataFrame, *, predicate: str = OWL + "unionOf") -> Data
     return cells.join(graph.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("member")), "cell").select("s", "member").distinct()
 
 
-def constraints(reference: DataFrame, predicate: str) -> DataFrame:
-    """(property, allowed): the classes a property's domain or range allows; a union allows each of its members, another unnamed class nothing in particular."""
+def constraints(reference: DataFrame, predicate: str, unions: DataFrame | None = None) -> DataFrame:
+    """(property, allowed): the classes a property's domain or range allows; a union allows each of its members, another unnamed class nothing in particular. ``unions`` may give ``union_members`` of the reference, where it is needed more than once."""
     told = reference.where(F.col("p") == predicate).select(F.col("s").alias("property"), F.col("o").alias("cls"))
-    unions = union_members(reference)
+    unions = union_members(reference) if unions is None else unions
     plain = told.where(~F.col("cls").startswith("_:")).select("property", F.col("cls").alias("allowed"))
     return plain.union(told.join(unions, F.col("cls") == F.col("s")).select("property", F.col("member").alias("allowed"))).distinct()
 
@@ -273,10 +275,10 @@ def later_wins(reference: DataFrame, *, order: str) -> DataFrame:
 
 def check(data: DataFrame, reference: DataFrame, tree: DataFrame, *, watched: list[str], local: str = DOMAIN) -> DataFrame:
     """(kind, term, position, n, example): all checks of a graph as one report: terms that no reference triple is about, and nodes whose types break a domain or range, with the smallest such node."""
-    supers = closure(tree, child="child", parent="parent")
+    supers, unions = closure(tree, child="child", parent="parent"), checkpointed(union_members(reference))
     known = reference.select(F.col("s").alias("term")).union(tree.select("child"))
     terms = unknown_terms(data, known, watched=watched, local=local).select(F.when(F.col("new_local"), "new local term").otherwise("unknown term").alias("kind"), "term", "position", F.col("uses").alias("n"), F.lit("").alias("example"))
-    broken = [violations(data, constraints(reference, RDFS + position), supers, end=end, position=position) for end, position in (("s", "domain"), ("o", "range"))]
+    broken = [violations(data, constraints(reference, RDFS + position, unions), supers, end=end, position=position) for end, position in (("s", "domain"), ("o", "range"))]
     counted = broken[0].unionByName(broken[1]).groupBy("property", "position").agg(F.count("*").alias("n"), F.min("node").alias("example"))
     return terms.unionByName(counted.select(F.lit("violation").alias("kind"), F.col("property").alias("term"), "position", "n", "example"))
 

@@ -12,7 +12,7 @@ from stonegraph import sinks
 from stonegraph.operators import graph, reports, resolve, rules, views
 from stonegraph.operators.snapshot import plain_path
 from stonegraph.plans.dealt import CHANGED, p1_found
-from stonegraph.plans.queries import DISTANCES, EDGES, _distances
+from stonegraph.plans.queries import DISTANCES, EDGES, SETTING, _distances, _settings
 from stonegraph.session import table
 from stonegraph.sources import tables
 
@@ -356,10 +356,10 @@ def slim_records(spark: SparkSession, d: str) -> DataFrame:
     return views.slim(k, {"ogham_id": "id", "title": "t", "findspot_county": "c"})
 
 
-@query("SELECT keeper_qid, round(CAST(avg(CAST(keeper_lat AS DECIMAL(20, 9))) AS DOUBLE), 6) AS lat, round(CAST(avg(CAST(keeper_lon AS DECIMAL(20, 9))) AS DOUBLE), 6) AS lon, count(*) AS n FROM keepers WHERE keeper_qid <> '' AND keeper_lat IS NOT NULL AND keeper_lon IS NOT NULL GROUP BY keeper_qid")
+@query("SELECT keeper_qid, round(CAST(avg(CAST(keeper_lat AS DECIMAL(20, 9))) AS DOUBLE), 9) AS lat, round(CAST(avg(CAST(keeper_lon AS DECIMAL(20, 9))) AS DOUBLE), 9) AS lon, count(*) AS n FROM keepers WHERE keeper_qid <> '' AND keeper_lat IS NOT NULL AND keeper_lon IS NOT NULL GROUP BY keeper_qid")
 def centroids(spark: SparkSession, d: str) -> DataFrame:
     c = views.centroids(table(spark, d, "keepers").where("keeper_qid <> ''"), key="keeper_qid", lat="keeper_lat", lon="keeper_lon")
-    return c.select("keeper_qid", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n")
+    return c.select("keeper_qid", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "n")
 
 
 @query("SELECT kind, label, arg_max(qid, confidence_order) AS qid, arg_max(confidence, confidence_order) AS confidence FROM (SELECT kind, label, qid, coalesce(confidence, 0.0) AS confidence, coalesce(wd_label, '') AS confidence_order FROM wikidata_links WHERE length(kind) > 0 AND length(label) > 0) GROUP BY kind, label")
@@ -372,3 +372,44 @@ def links_cache(spark: SparkSession, d: str) -> DataFrame:
 def change_lines(spark: SparkSession, d: str) -> DataFrame:
     """The report on a corpus that changed: of each kind the number and the first twelve paths."""
     return sinks.change_lines(p1_found(spark, d), by="commit", key="path", change="change")
+
+
+@query(f"WITH {SETTING} SELECT key, count(*) AS n FROM k WHERE custody IN ('indoors', 'landscape') GROUP BY key")
+def view_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings under two kinds of custody: the counts follow the filter."""
+    shown = views.faceted(_settings(spark, d), among={"custody": ["indoors", "landscape"]})
+    return shown.groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LAST} SELECT DISTINCT r.ogham_id, r.editor, l.lat FROM readings r JOIN l USING (ogham_id) WHERE lat > -999 AND r.editor IS NOT NULL")
+def located_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings on the map: those of stones without a point are left out."""
+    r = table(spark, d, "readings").where("editor is not null").select("ogham_id", "editor").distinct()
+    return r.join(_spots(spark, d).where("lat > -999").select("ogham_id", "lat"), "ogham_id")
+
+
+@query("""WITH a AS (SELECT DISTINCT editor, regexp_extract(editor, '([A-Za-z]+)', 1) AS n, regexp_extract(editor, '([0-9]{4})', 1) AS y FROM readings WHERE editor IS NOT NULL), s AS (SELECT editor, CASE WHEN y <> '' THEN upper(left(n, 3)) || y ELSE n END AS id FROM a)
+SELECT editor, CASE WHEN id = '' THEN 'OGHAM edition' WHEN regexp_matches(id, '^[A-Za-z]+[0-9]{4}') THEN coalesce(map {'RHY': 'Rhys', 'MAC': 'Macalister', 'DIA': 'Diack', 'JAC': 'Jackson', 'FOR': 'Forsyth'}[left(id, 3)], upper(left(id, 1)) || lower(regexp_extract(id, '^.([A-Za-z]*)', 1))) || ' ' || regexp_extract(id, '([0-9]{4})', 1) ELSE id END AS label FROM s""")
+def edition_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Editors as the stone's graph names them: ids of another form stand as they are."""
+    name, year = F.regexp_extract("editor", "([A-Za-z]+)", 1), F.regexp_extract("editor", "([0-9]{4})", 1)
+    rows = table(spark, d, "readings").where("editor is not null").select("editor", F.when(year != "", F.concat(F.upper(F.left(name, F.lit(3))), year)).otherwise(name).alias("id")).distinct()
+    return rows.select("editor", text.edition_label(F.col("id")).alias("label"))
+
+
+@query("SELECT DISTINCT ogham_id, printf('%.6f', findspot_lat) AS lat, printf('%.6f', findspot_lon) AS lon FROM keepers WHERE findspot_lat IS NOT NULL AND findspot_lon IS NOT NULL")
+def formatted_points(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "keepers").where("findspot_lat is not null and findspot_lon is not null")
+    return k.select("ogham_id", *(F.format_string("%.6f", f"findspot_{c}").alias(c) for c in ("lat", "lon"))).distinct()
+
+
+@query("SELECT lower(commit) AS commit, left(commit_date, 10) AS day, strftime(max(fetched) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS fetched FROM manifest_snapshots GROUP BY 1, 2")
+def snapshot_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Days and instants as reports write them."""
+    s = table(spark, d, "manifest_snapshots").groupBy(F.lower("commit").alias("commit"), F.left("commit_date", F.lit(10)).alias("day")).agg(F.max("fetched").alias("fetched"))
+    return s.withColumn("fetched", text.utc_stamp(F.col("fetched")))
+
+
+@query("SELECT CASE WHEN coalesce(alias_of, '') <> '' THEN 'alias' WHEN coalesce(qid, '') <> '' THEN 'qid' WHEN coalesce(osm_id, '') <> '' THEN 'osm' WHEN lat <> '' THEN 'point' ELSE 'empty' END AS kind, count(*) AS n FROM keeper_coordinates GROUP BY 1")
+def identifier_summary(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.identifier_kinds(table(spark, d, "keeper_coordinates")).groupBy("kind").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stonegraph.functions import text
-from stonegraph.operators import nested, resolve, rules, triples
+from stonegraph.operators import nested, reports, resolve, rules, triples
 from stonegraph.plans.layers import LETTERS, _letters
 from stonegraph.plans.queries import NORM, SLUG, STAR, UPS, VOCABULARY, _ontology, _star, _ups
 from stonegraph.session import table
@@ -79,6 +79,11 @@ def made_tags(spark: SparkSession, d: str) -> DataFrame:
     return tags.groupBy(F.col("t.tag").alias("tag")).agg(F.sum("t.n").alias("total"), F.count("*").alias("files")).withColumn("status", rules.classify_tag(F.col("tag")))
 
 
+@query(ORACLES["made_tags"].replace("SELECT tag, total::BIGINT AS total, files, status FROM n", "SELECT status, count(*) AS tags, sum(total)::BIGINT AS uses FROM n") + " GROUP BY status")
+def tag_tally(spark: SparkSession, d: str) -> DataFrame:
+    return reports.tag_tally(made_tags(spark, d), status="status")
+
+
 # ---- readings
 
 CODES = ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in text.EDITOR_PREFIXES.items())
@@ -142,10 +147,10 @@ def made_place_triples(spark: SparkSession, d: str) -> DataFrame:
     return triples.place_graph(editions.places(editions.read_records(_spots(spark, d), key="stone", content="content"))).select("s", "p", "o")
 
 
-@query(f"WITH {SPOTS} SELECT stone, county AS place, 1.5 AS lat, 2.5 AS lon, stone AS filename, 0 AS names FROM l")
+@query(f"WITH {SPOTS} SELECT stone, county AS place, 1.5 AS lat, 2.5 AS lon, 0 AS ids, 0 AS names FROM l")
 def made_stones(spark: SparkSession, d: str) -> DataFrame:
     x = editions.stones(editions.read_records(_spots(spark, d), key="stone", content="content"))
-    return x.select("stone", "place", "lat", "lon", F.try_element_at("ids", F.lit("filename")).alias("filename"), F.size("names").alias("names"))
+    return x.select("stone", "place", "lat", "lon", F.size("ids").alias("ids"), F.size("names").alias("names"))
 
 
 @query(f"WITH {SPOTS} SELECT stone AS ogham_id, stone AS title, county AS pn_county, country AS pn_country, '1.5, 2.5' AS geo_raw, 'asserted' AS geo_status, 1.5 AS lat, 2.5 AS lon FROM l")
@@ -272,3 +277,13 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     from stonegraph.operators.reports import graph_summary as summary
 
     return summary(_star(spark, d), {"places": CRM + "E53_Place", "regions": O + "Region"})
+
+
+@query("SELECT stone, bad FROM (SELECT DISTINCT ogham_id AS stone, length(ogham_id) % 2 = 0 AS bad FROM keepers WHERE ogham_id <> '')")
+def mended_editions(spark: SparkSession, d: str) -> DataFrame:
+    """Editions with an element left open, a stray end, a loose sign or a cut end are read all the same; ``bad`` tells which had to be mended."""
+    good = "<TEI><title>t</title><idno type='filename'>%s</idno></TEI>"
+    broken = "<TEI><title>a & b<idno type='filename'>%s</idno></hi><note>x < y</note><p>cut"
+    k = table(spark, d, "keepers").where("ogham_id <> ''").select(F.col("ogham_id").alias("stone")).distinct()
+    made = k.select("stone", F.when(F.length("stone") % 2 == 0, F.format_string(broken, "stone")).otherwise(F.format_string(good, "stone")).alias("content"))
+    return editions.read_records(made, key="stone", content="content").select(F.try_element_at("ids", F.lit("filename")).alias("stone"), F.col("recovered").alias("bad"))

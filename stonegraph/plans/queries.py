@@ -11,7 +11,7 @@ from stonegraph.functions import geo, text
 from stonegraph.operators import graph, resolve, rules, triples, views
 from stonegraph.operators.nested import latest
 from stonegraph.operators.spatial import located
-from stonegraph.session import shared_folder, table
+from stonegraph.session import checkpointed, shared_folder, table
 from stonegraph.sources import editions
 from stonegraph.streaming.snapshots import catch_up
 
@@ -603,9 +603,9 @@ def _ontology(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 @query(f"SELECT DISTINCT '{CRM}P89_falls_within' AS property, '{D}region_' || {SLUG.format('r_name')} AS node, 'range' AS position FROM region JOIN nation ON r_regionkey = n_regionkey")
 def domain_range_violations(spark: SparkSession, d: str) -> DataFrame:
     tree, reference = _ontology(spark)
-    supers = graph.closure(tree, child="child", parent="parent")
+    supers, unions = graph.closure(tree, child="child", parent="parent"), checkpointed(triples.union_members(reference))
     data = _star(spark, d)
-    return triples.violations(data, triples.constraints(reference, RDFS + "domain"), supers, end="s", position="domain").union(triples.violations(data, triples.constraints(reference, RDFS + "range"), supers, end="o", position="range"))
+    return triples.violations(data, triples.constraints(reference, RDFS + "domain", unions), supers, end="s", position="domain").union(triples.violations(data, triples.constraints(reference, RDFS + "range", unions), supers, end="o", position="range"))
 
 
 @query(f"WITH {STAR} SELECT '{O}Region' AS term, 'class' AS position, count(*) AS uses, true AS new_local FROM star WHERE o = '{O}Region' UNION ALL SELECT p, 'property', count(*), true FROM star WHERE p = '{O}size' GROUP BY p")

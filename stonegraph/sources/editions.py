@@ -69,7 +69,7 @@ def _text(el, without: str = "") -> str:
 
 
 def parse(content: str | None, strict: bool = False) -> tuple[ET.Element, bool] | None:
-    """The root, and whether it had to be repaired (stray control characters and ampersands); None beyond that."""
+    """The root, and whether it had to be repaired; None beyond that (see ``_repaired``)."""
     if not content:
         return None
     try:
@@ -78,10 +78,62 @@ def parse(content: str | None, strict: bool = False) -> tuple[ET.Element, bool]
         if strict:
             return None
     mended = re.sub(r"&(?!(?:#\d+|#x[0-9a-fA-F]+|\w+);)", "&amp;", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", content))
-    try:
-        return ET.fromstring(mended), True
-    except (ET.ParseError, ValueError):
-        return None
+    for _ in range(MOST_REPAIRS):
+        try:
+            return ET.fromstring(mended), True
+        except ET.ParseError as error:
+            better = _repaired(mended, error)
+            if better is None or better == mended:
+                return None
+            mended = better
+        except ValueError:
+            return None
+    return None
+
+
+MOST_REPAIRS = 200  #: faults mended in one text; one with more can't be read
+
+
+def _open_tags(text: str) -> list[str]:
+    """The elements that are open at the end of a text."""
+    opened: list[str] = []
+    for m in re.finditer(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[?!][^>]*>|<(/?)([^\s<>/]+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", text, re.S):
+        if m[2] and m[1]:
+            if m[2] in opened:
+                del opened[len(opened) - 1 - opened[::-1].index(m[2]) :]
+        elif m[2] and not m[4]:
+            opened.append(m[2])
+    return opened
+
+
+def _repaired(content: str, error: ET.ParseError) -> str | None:
+    """The text with the fault that a parser stopped at undone: what is left open is closed, a stray end taken out, an entity nobody declared or a loose ``<`` written out, what follows the root cut off."""
+    lines = content.split("\n")
+    row, col = error.position
+    at = sum(len(x) + 1 for x in lines[: row - 1]) + len(lines[row - 1].encode()[:col].decode(errors="ignore")) if row <= len(lines) else len(content)
+    said = str(error)
+    if "mismatched tag" in said:
+        start = content.rfind("<", 0, at + 1)
+        end = content.find(">", start) + 1
+        name = content[start + 2 : end - 1].strip()
+        opened = _open_tags(content[:start])
+        if name not in opened:
+            return content[:start] + content[end:]
+        closing = opened[len(opened) - opened[::-1].index(name) :]
+        return content[:start] + "".join(f"</{x}>" for x in reversed(closing)) + content[start:]
+    if "no element found" in said or "unclosed token" in said:
+        whole = content[: content.rfind("<")] if "unclosed token" in said and "<" in content else content
+        opened = _open_tags(whole)
+        return whole + "".join(f"</{x}>" for x in reversed(opened)) if opened else None
+    if "undefined entity" in said:
+        start = content.rfind("&", 0, at + 1)
+        return content[:start] + "&amp;" + content[start + 1 :] if start >= 0 else None
+    if "junk after document element" in said:
+        return content[:at]
+    if "not well-formed" in said or "duplicate attribute" in said or "unbound prefix" in said:
+        start = content.rfind("<", 0, at + 1)
+        return content[:start] + "&lt;" + content[start + 1 :] if start > 0 else None
+    return None
 
 
 def record(content: str | None, strict: bool = False) -> dict | None:
@@ -159,6 +211,17 @@ def read_records(editions: DataFrame, *, key: str, content: str, strict: bool =
     return editions.select(F.col(key).cast("string"), F.col(content).cast("string")).mapInArrow(_reader(strict), DDL)
 
 
+def unread(editions: DataFrame, *, key: str, content: str, strict: bool = False) -> DataFrame:
+    """(record): editions with a text that can't be read."""
+
+    def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = [k for k, t in zip(b.column(0).to_pylist(), b.column(1)) if t.as_py() and not parse(t.as_py(), strict)]
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], names=["record"])
+
+    return editions.select(F.col(key).cast("string"), F.col(content).cast("string")).mapInArrow(failed, "record string")
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, sha) of the XML files below a folder, without hidden files and version control's own."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path)
@@ -238,7 +301,7 @@ def relations(records: DataFrame) -> DataFrame:
     return rel.where("from_id is not null and to_id is not null").select("record", "phrase", F.col("w")[0]["pos"].alias("pos"), "from_id", "to_id", F.array_join(lemmas, "+").alias("lemma"), F.array_join(F.transform("w", lambda x: x["surface"]), " ").alias("surface"), F.exists("w", lambda x: x["ref"].endswith("?")).alias("uncertain"))
 
 
-SYSTEMS = ["filename", "CIIC", "CISP", "TM", "SMR"]
+SYSTEMS = ["CIIC", "CISP", "TM", "SMR", "Trove"]
 DECIMALS = r"(-?\d+\.\d+)[^\d-]+(-?\d+\.\d+)"
 
 
