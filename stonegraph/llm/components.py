@@ -141,7 +141,7 @@ def group_members(pairs: DataFrame, *, a: str, b: str, steps: int = 8, beta: flo
     Members with more than ``hub`` links are joined in parts. The groups are
     found when the function is called.
     """
-    named = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
+    named = checkpointed(pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct())  # names are made once
     links = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ends = links.select(F.explode(F.array("a", "b")).alias("member")).distinct()
     linked = checkpointed(ends.select("member", _scrambled(F.monotonically_increasing_id()).alias("v")))  # ids hold only once they are written
