@@ -15,7 +15,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -390,14 +389,17 @@ def reviewed(documents: DataFrame, labels: DataFrame, most: int = MOST_REVIEWED,
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
-@lru_cache(maxsize=4)
-def _trained(docs: tuple[tuple[str, float], ...]) -> tuple[np.ndarray, float]:
-    return train(list(docs))
+Model = tuple[np.ndarray, float]
 
 
-def _shared_model(documents: DataFrame, labels: DataFrame, most: int):
-    """The trained model, broadcast: (features, weights, bias)."""
-    w, b = _trained(tuple(reviewed(documents, labels, most)))
+def train_model(documents: DataFrame, labels: DataFrame, most: int = MOST_REVIEWED) -> Model:
+    """(weights, bias), trained on the driver on at most ``most`` reviewed documents and the module's own sentences; it may be given to several of the functions below."""
+    return train(reviewed(documents, labels, most))
+
+
+def _shared_model(documents: DataFrame, labels: DataFrame, most: int, model: Model | None):
+    """The model, broadcast: (features, weights, bias)."""
+    w, b = model or train_model(documents, labels, most)
     used = np.flatnonzero(w).astype(np.int32)
     return documents.sparkSession.sparkContext.broadcast((used, w[used].astype(np.float32), b))
 
@@ -409,16 +411,15 @@ def _scorer(shared) -> Scorer:
     return Scorer(weights, bias)
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, *, most: int = MOST_REVIEWED) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, *, most: int = MOST_REVIEWED, model: Model | None = None) -> DataFrame:
     """(doc_id, source, score): each document's chance of abusive content.
 
-    The model is trained on the driver, on at most ``most`` reviewed documents
-    and the module's own sentences, when the function is called; every document
-    is scored in full. Null, empty and blank texts score 0. Rows keep their
+    Without a ``model`` one is trained when the function is called (see
+    ``train_model``); every document is scored in full. Null, empty and blank texts score 0. Rows keep their
     number; a null source stays null; extra columns are ignored; without labels
     the module's sentences alone are learnt.
     """
-    shared = _shared_model(documents, labels, most)
+    shared = _shared_model(documents, labels, most, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
@@ -429,9 +430,9 @@ def score_documents(documents: DataFrame, labels: DataFrame, *, most: int = MOST
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id bigint, source string, score double")
 
 
-def group_gaps(documents: DataFrame, labels: DataFrame, *, most: int = MOST_REVIEWED) -> DataFrame:
+def group_gaps(documents: DataFrame, labels: DataFrame, *, most: int = MOST_REVIEWED, model: Model | None = None) -> DataFrame:
     """(term, sentences, mean_gap, greatest_gap): how far the score of sentences that name a group changes when its terms are swapped for others, over all documents."""
-    shared = _shared_model(documents, labels, most)
+    shared = _shared_model(documents, labels, most, model)
 
     def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
