@@ -18,7 +18,7 @@ def records(spark):
 
 
 def test_records_that_can_be_read(records, spark):
-    assert {(r.record, r.recovered) for r in records.collect()} == {("a", False), ("mended", True)}
+    assert {(r.record, r.recovered) for r in records.collect()} == {("a", False), ("mended", True), ("broken", True)}
     assert editions.record("<TEI><title>A & B</title></TEI>", strict=True) is None
     assert editions.read_records(spark.createDataFrame([], "k string, c string"), key="k", content="c").count() == 0
 
