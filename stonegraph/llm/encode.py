@@ -62,7 +62,8 @@ def _edges(chunk: int, overlap: int):
     """Of each chunk (row, n, length, text) the boundaries in its first and its last overlap.
 
     Only boundaries between two ASCII characters are offered, on which all
-    libraries' tables of letters agree.
+    libraries' tables of letters agree, and none after white space: how a run of
+    it is parted depends on what follows, which the part before the cut lacks.
     """
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +71,7 @@ def _edges(chunk: int, overlap: int):
             heads, tails = [], []
             for n, length, part in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 at = n * chunk
-                sure = [p for p in boundaries(part, at, at + len(part) >= length) if p > at and part[p - at - 1].isascii() and part[p - at].isascii()]
+                sure = [p for p in boundaries(part, at, at + len(part) >= length) if p > at and part[p - at - 1].isascii() and not part[p - at - 1].isspace() and part[p - at].isascii()]
                 heads.append(sure[: bisect_left(sure, at + overlap)])
                 tails.append(sure[bisect_left(sure, at + chunk) :])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["row", "n", "head", "tail"])

@@ -35,6 +35,11 @@ def test_long_texts_are_stitched(spark, chunk, overlap):
     assert run(spark, texts, lengths_only=True, chunk=chunk, overlap=overlap) == {k: len(v) for k, v in got.items()}
 
 
+def test_no_cut_falls_after_white_space(spark):
+    texts = ["x" * k + "I shall be.\n\nI was  there,\n\nSo 'tis\t\tit. " * 60 for k in range(12)]
+    assert run(spark, texts, chunk=64, overlap=32) == {k: ENC.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
 def test_repeated_and_null_ids_keep_their_texts(spark):
     long = [f"stone {k} stands " * 300 for k in range(3)]
     rows = [(1, long[0]), (1, long[0]), (1, long[1]), (None, long[1]), (None, long[2]), (None, "short"), (None, None)]
