@@ -4,7 +4,8 @@ Each annotator belongs to one of a few communities, whose members share one
 confusion matrix: per kind of item, the chances of the right label, of a wrong
 one that others give too, and of a wrong one given by nobody else. What the
 matrices lean on is estimated each round: annotators are ranked by how often
-they are right, and each quarter of them gives one community its prior.
+they are right, and each quarter of them gives one community its prior. Where
+annotators next to a cut change places for ever, all keep their quarters from then on.
 Variational updates alternate between the items' labels, the annotators' communities and
 the communities' matrices, so that annotators with few labels lean on those
 like them. Matrices and sizes of the communities are all the driver holds; an
@@ -25,6 +26,7 @@ from stonegraph.session import checkpointed
 START = ((0.95, 0.03, 0.02), (0.80, 0.10, 0.10), (0.60, 0.20, 0.20), (0.35, 0.30, 0.35))
 STRENGTH = 20.0  #: labels that these count for
 MANY_ANNOTATORS = 100_000  #: whose weights are broadcast at most; more are joined
+RANKINGS = 30  #: rounds after which annotators keep their quarters at the latest
 SALTS = 16  #: parts of an annotator's labels where weights are joined
 
 
@@ -72,27 +74,42 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 200, tolerance: float
     annotator's community) and community. Rows with a null are left out; of a
     pair given twice the greatest label counts; an empty table gives empty
     results. A community's prior, estimated from the labels, weighs ``anchor``
-    times an even share of them, lest all annotators drift into one. Loops run
+    times an even share of them, lest all annotators drift into one. Annotators
+    are ranked anew in each round, until a ranking comes back for the second time
+    or for ``RANKINGS`` rounds; the priors go on being estimated. Loops run
     when the function is called. RuntimeError if the matrices haven't
     settled within ``tolerance`` after ``rounds`` rounds. Ties go to the label with more votes, then to the smallest.
     """
-    given = votes.where("item is not null and annotator is not null and label is not null").groupBy("item", "annotator").agg(F.max("label").alias("label"))
-    by_item, by_text = Window.partitionBy("item"), Window.partitionBy("item", "label")
+    given = votes.where("item is not null and annotator is not null and label is not null").repartition("item").groupBy("item", "annotator").agg(F.max("label").alias("label"))
+    by_item, by_text = Window.partitionBy("item"), Window.partitionBy("item", "text")
+    given = given.withColumn("text", F.dense_rank().over(by_item.orderBy("label")))  # by the same shuffle as all windows
     count = F.count("*").over(by_text)
     laid = given.select("*", count.alias("same"), F.count("*").over(by_item).alias("voters"), item_kind(F.max(F.struct(F.length("label"), "label")).over(by_item)["label"], kinds).alias("kind"))
     laid = laid.withColumn("rivals", F.round(F.sum(1 / F.col("same")).over(by_item)))
     laid = checkpointed(laid.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")))
+    _release(laid)
+    lean = laid.drop("label")  # the rounds shuffle numbers of texts only
     c = len(START)
-    stats = checkpointed(_stats(_held(laid, None, by_item, by_text), kinds))
+    stats = checkpointed(_stats(_held(lean, None, by_item, by_text), kinds))
     many = stats.count() > MANY_ANNOTATORS
     strength = max(STRENGTH, anchor * laid.count() / (c * kinds))
-    prior = _prior(stats, kinds) * strength
+    chances, ranking = _prior(_ranked(stats, kinds), kinds)
+    prior, rankings, quarters = chances * strength, [ranking], None
     matrices, sizes = prior.copy(), np.full(c, 1.0)
     weights, last, done = None, None, 0
     for done in range(1, rounds + 1):
         if weights is not None:
-            stats = checkpointed(_stats(_held(laid, weights, by_item, by_text, many), kinds))
-            prior = _prior(stats, kinds) * strength
+            stats = checkpointed(_stats(_held(lean, weights, by_item, by_text, many), kinds))
+            _release(laid)
+            ranked = _ranked(stats, kinds) if quarters is None else stats.join(quarters, "annotator")
+            chances, ranking = _prior(ranked, kinds)
+            prior = chances * strength
+            if quarters is None:
+                again = ranking != rankings[-1] and rankings.count(ranking) > 1
+                if again or done >= RANKINGS:
+                    quarters = checkpointed(ranked.select("annotator", "quarter"))
+                if ranking != rankings[-1]:
+                    rankings.append(ranking)
         stats = _communities(stats, _expected_logs(matrices), _expected_logs(sizes), kinds)
         stats = checkpointed(stats)
         cells = [F.sum(F.col(f"r{i}") * F.col(f"n{k}_{o}")).alias(f"m{i}_{k}_{o}") for i in range(c) for k in range(kinds) for o in range(3)]
@@ -113,24 +130,37 @@ def fit(votes: DataFrame, *, kinds: int = 3, rounds: int = 200, tolerance: float
     right = matrices[:, :, 0] / matrices.sum(-1)
     n = [sum((F.col(f"n{k}_{o}") for o in range(3)), F.lit(0.0)) for k in range(kinds)]
     total = sum(n, F.lit(0.0))
-    pull = sum((_dot([F.col(f"r{i}") for i in range(c)], right[:, k]) * n[k] for k in range(kinds)), F.lit(0.0)) / total
+    pull = sum((_dot([F.col(f"r{i}") for i in range(c)], right[:, k]) * F.coalesce(F.try_divide(n[k], total), F.lit(1 / kinds)) for k in range(kinds)), F.lit(0.0))  # even kinds if all items have one voter
     own = sum((F.col(f"n{k}_0") for k in range(kinds)), F.lit(0.0))
     annotators = stats.select("annotator", total.cast("bigint").alias("labels"), ((own + STRENGTH * pull) / (total + STRENGTH)).alias("reliability"), F.expr("array_position(array({0}), greatest({0}))".format(", ".join(f"r{i}" for i in range(c)))).cast("int").alias("community"))
     return Consensus(items, annotators, laid, done)
 
 
-def _prior(stats: DataFrame, kinds: int) -> np.ndarray:
-    """(community, kind, outcome): chances estimated from the annotators' counts, a quarter of the annotators each, the best first; ``START`` counts for ``STRENGTH`` labels."""
+def _ranked(stats: DataFrame, kinds: int) -> DataFrame:
+    """Adds ``quarter``: 0 for the quarter of the annotators who are right most often, to 3."""
     c = len(START)
-    cells = [f"n{k}_{o}" for k in range(kinds) for o in range(3)]
-    own, total = (sum((F.col(x) for x in names), F.lit(0.0)) for names in ([f"n{k}_0" for k in range(kinds)], cells))
+    own, total = (sum((F.col(x) for x in names), F.lit(0.0)) for names in ([f"n{k}_0" for k in range(kinds)], _cells(kinds)))
     ranked = stats.withColumn("share", F.round((own + STRENGTH * START[1][0]) / (total + STRENGTH), 3))
     cuts = ranked.agg(F.expr(f"percentile(share, array({', '.join(str(1 - q / c) for q in range(1, c))}))").alias("p")).first()["p"] or [0.0] * (c - 1)
-    quarter = sum((F.when(F.col("share") < x, 1).otherwise(0) for x in cuts), F.lit(0))
-    found = {r["q"]: r for r in ranked.groupBy(quarter.alias("q")).agg(*(F.sum(x).alias(x) for x in cells)).collect()}
+    return ranked.withColumn("quarter", sum((F.when(F.col("share") < x, 1).otherwise(0) for x in cuts), F.lit(0)))
+
+
+def _prior(ranked: DataFrame, kinds: int) -> tuple[np.ndarray, tuple]:
+    """(community, kind, outcome): chances estimated from the counts of a quarter of the annotators each, the best first; ``START`` counts for ``STRENGTH`` labels. And a mark of who is in which quarter."""
+    c, cells = len(START), _cells(kinds)
+    found = {r["quarter"]: r for r in ranked.groupBy("quarter").agg(*(F.sum(x).alias(x) for x in cells), F.count("*").alias("members"), F.bit_xor(F.xxhash64("annotator")).alias("mark")).collect()}
     counts = np.array([[[found[i][f"n{k}_{o}"] if i in found else 0.0 for o in range(3)] for k in range(kinds)] for i in range(c)])
     counts += STRENGTH * np.array(START)[:, None, :]
-    return counts / counts.sum(-1, keepdims=True)
+    return counts / counts.sum(-1, keepdims=True), tuple((i, r["members"], r["mark"]) for i, r in sorted(found.items()))
+
+
+def _cells(kinds: int) -> list[str]:
+    return [f"n{k}_{o}" for k in range(kinds) for o in range(3)]
+
+
+def _release(df: DataFrame) -> None:
+    """Has the driver collect its garbage: until then the files of shuffles that no plan needs any more stay on the disks, those of all rounds."""
+    df.sparkSession._jvm.System.gc()
 
 
 def _held(laid: DataFrame, weights: DataFrame | None, by_item, by_text, many: bool = False) -> DataFrame:

@@ -69,3 +69,16 @@ def test_an_unsettled_model_raises(spark):
     rows, _ = simulated(3, 40)
     with pytest.raises(RuntimeError, match="settle"):
         fit(spark.createDataFrame(rows, SCHEMA), rounds=1)
+
+
+def test_annotators_who_change_quarters_for_ever_are_settled(spark):
+    rows, truth = simulated(50, 60)  # ranked anew in each round, the matrices of these jump by 0.11 for ever
+    r = fit(spark.createDataFrame(rows, SCHEMA), rounds=60)
+    found = {x.item: x.consensus for x in r.items.collect()}
+    assert r.rounds < 30 and found.keys() == {i for i, *_ in rows} and np.mean([found[i] == truth[i] for i in found]) > 0.9
+
+
+def test_an_annotator_of_items_that_no_other_has(spark):
+    r = fit(spark.createDataFrame([("a", "x", "L", 0.0, 0), ("a", "y", "L", 0.0, 0), ("b", "z", "Q", 0.0, 0)], SCHEMA))
+    found = {a.annotator: a for a in r.annotators.collect()}
+    assert found.keys() == {"x", "y", "z"} and found["z"].labels == 0 and 0 < found["z"].reliability < 1
