@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stonegraph.functions import text
+from stonegraph.session import BitTable
 
 
 def fill_missing(records: DataFrame, overrides: DataFrame, *, key: str, columns: list[str]) -> DataFrame:
@@ -86,23 +87,39 @@ def dissent(compared: DataFrame, *, key: str, editor: str) -> DataFrame:
     return compared.groupBy(key).agg(F.count("*").alias("comparisons"), F.min("ratio").alias("least"), F.array_sort(F.collect_set(editor)).alias("editors"), F.bool_or(stake).alias("at_stake")).withColumn("least_band", text.band(F.col("least")))
 
 
+MOST_WORDS, MOST_WORD_BYTES = 100_000, 16 << 20  #: rows of a vocabulary, and their bytes, up to which it is broadcast
+
+
 def match_words(tokens: DataFrame, vocabulary: DataFrame, *, token: str, longest_piece: int = 0) -> DataFrame:
     """Tokens with the vocabulary's variants: equal ones, and for mode ``element`` also those that hold a variant.
 
-    The holding is an equality join too: each token's substrings of the
-    lengths that element variants have are looked up, so no pair of rows is
-    compared that doesn't share text. ``longest_piece`` bounds those lengths;
-    0 takes the longest element variant's.
+    Both are one equality join: each token is looked up with its substrings of
+    the lengths that element variants have, so no pair of rows is compared that
+    doesn't share text. ``longest_piece`` bounds those lengths; 0 takes the
+    longest element variant's.
+
+    The vocabulary is measured by a job when this is called, as Catalyst knows
+    the size neither of it nor of the substrings. Up to ``MOST_WORDS`` it is
+    broadcast and the tokens stay where they are; beyond that substrings that a
+    bit table doesn't know are dropped before both sides are shuffled. The
+    substrings are never broadcast.
     """
-    whole = tokens.join(vocabulary.where("mode <> 'element'"), F.col(token) == F.col("variant"))
-    elements = vocabulary.where("mode = 'element'")
-    most = longest_piece or (elements.agg(F.max(F.length("variant"))).first()[0] or 0)
-    if not most:
-        return whole
-    n = F.length(token)
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(most)))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda at: F.substring(F.col(token), at, k)))))
-    held = tokens.where(n > 0).select("*", F.explode(pieces).alias("_piece")).join(elements, F.col("_piece") == F.col("variant")).drop("_piece")
-    return whole.unionByName(held)
+    length = F.length("variant")
+    element = (F.col("mode") == "element") & (length > 0) & (length <= (longest_piece or 2**31 - 1))
+    v = vocabulary.where(element | (F.col("mode") != "element"))
+    rows, size, most, lengths = v.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*v.columns)))), F.max(F.when(element, length)), F.slice(F.collect_set(F.when(element, length)), 1, 65)).first()
+    n, pieces = F.length(token), F.array(token)
+    if most:
+        ks = F.array(*map(F.lit, sorted(lengths))) if len(lengths) <= 64 else F.sequence(F.lit(1), F.lit(most))
+        inner = F.transform(F.filter(ks, lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substring(F.col(token), at, k)))
+        pieces = F.array_distinct(F.concat(pieces, F.flatten(inner)))
+    parts = tokens.where(F.col(token).isNotNull()).select("*", F.explode(pieces).alias("_piece"))
+    held = (F.col("_piece") == F.col("variant")) & ((F.col("mode") == "element") | (F.col("_piece") == F.col(token)))
+    if rows <= MOST_WORDS and (size or 0) <= MOST_WORD_BYTES:
+        return parts.join(F.broadcast(v), held).drop("_piece")
+    known = BitTable(v.select(F.xxhash64("variant").alias("_key")), "_key", rows)
+    sifted = known.held(parts.withColumn("_key", F.xxhash64("_piece")), "_key").drop("_key")
+    return sifted.hint("merge").join(v, held).drop("_piece")
 
 
 def shared(df: DataFrame, *, name: str, place: str) -> DataFrame:
