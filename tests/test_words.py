@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from conftest import DATA
 
+import __spark_entry__ as entry
 from stonegraph.operators import resolve
 
 VOCABULARY = "word string, mode string, variant string"
@@ -50,3 +52,10 @@ def test_what_tokens_hold_is_never_broadcast(spark, monkeypatch, tmp_path):
     assert "BuildRight" in small and "BuildLeft" not in small and "hashpartitioning" not in small and "SortMergeJoin" not in small
     monkeypatch.setattr(resolve, "MOST_WORDS", 0)
     assert "SortMergeJoin" in (large := plan(resolve.match_words(read, vocabulary, token="token"))) and "BuildLeft" not in large
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["vocabulary_matches", "word_rows", "view_words"])
+def test_queries_of_words_broadcast_the_vocabulary_only(spark, name):
+    joins = [x for x in plan(entry.queries()[name](spark, str(DATA))).split("\n") if "Join" in x]
+    assert joins and all("BuildRight" in x for x in joins)
