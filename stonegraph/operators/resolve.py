@@ -88,26 +88,31 @@ def dissent(compared: DataFrame, *, key: str, editor: str) -> DataFrame:
 
 
 MOST_WORDS, MOST_WORD_BYTES = 100_000, 16 << 20  #: rows of a vocabulary, and their bytes, up to which it is broadcast
+FEW_WORDS = 100  #: rows up to which looking for each in a token costs less than making the token's substrings
 
 
 def match_words(tokens: DataFrame, vocabulary: DataFrame, *, token: str, longest_piece: int = 0) -> DataFrame:
     """Tokens with the vocabulary's variants: equal ones, and for mode ``element`` also those that hold a variant.
 
-    Both are one equality join: each token is looked up with its substrings of
+    The vocabulary is measured by a job when this is called. Up to
+    ``FEW_WORDS`` are looked for in each token one by one. With more of them
+    both are one equality join: each token is looked up with its substrings of
     the lengths that element variants have, so no pair of rows is compared that
-    doesn't share text. ``longest_piece`` bounds those lengths; 0 takes the
-    longest element variant's.
-
-    The vocabulary is measured by a job when this is called, as Catalyst knows
-    the size neither of it nor of the substrings. Up to ``MOST_WORDS`` it is
-    broadcast and the tokens stay where they are; beyond that substrings that a
-    bit table doesn't know are dropped before both sides are shuffled. The
-    substrings are never broadcast.
+    doesn't share text. ``longest_piece`` bounds the length of element variants;
+    0 takes all.
+
+    Catalyst knows the size neither of the vocabulary nor of the substrings. Up
+    to ``MOST_WORDS`` the vocabulary is broadcast and the tokens stay where they
+    are; beyond that substrings that a bit table doesn't know are dropped before
+    both sides are shuffled. The substrings are never broadcast.
     """
     length = F.length("variant")
     element = (F.col("mode") == "element") & (length > 0) & (length <= (longest_piece or 2**31 - 1))
     v = vocabulary.where(element | (F.col("mode") != "element"))
     rows, size, most, lengths = v.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*v.columns)))), F.max(F.when(element, length)), F.slice(F.collect_set(F.when(element, length)), 1, 65)).first()
+    small = rows <= MOST_WORDS and (size or 0) <= MOST_WORD_BYTES
+    if small and rows <= FEW_WORDS:
+        return tokens.join(F.broadcast(v), ((F.col("mode") == "element") & F.contains(F.col(token), F.col("variant"))) | (F.col(token) == F.col("variant")))
     n, pieces = F.length(token), F.array(token)
     if most:
         ks = F.array(*map(F.lit, sorted(lengths))) if len(lengths) <= 64 else F.sequence(F.lit(1), F.lit(most))
@@ -115,7 +120,7 @@ def match_words(tokens: DataFrame, vocabulary: DataFrame, *, token: str, longest
         pieces = F.array_distinct(F.concat(pieces, F.flatten(inner)))
     parts = tokens.where(F.col(token).isNotNull()).select("*", F.explode(pieces).alias("_piece"))
     held = (F.col("_piece") == F.col("variant")) & ((F.col("mode") == "element") | (F.col("_piece") == F.col(token)))
-    if rows <= MOST_WORDS and (size or 0) <= MOST_WORD_BYTES:
+    if small:
         return parts.join(F.broadcast(v), held).drop("_piece")
     known = BitTable(v.select(F.xxhash64("variant").alias("_key")), "_key", rows)
     sifted = known.held(parts.withColumn("_key", F.xxhash64("_piece")), "_key").drop("_key")

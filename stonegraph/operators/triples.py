@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stonegraph.functions import text
 from stonegraph.operators.graph import closure
 from stonegraph.operators.reports import numbered_globally
-from stonegraph.session import checkpointed
+from stonegraph.session import checkpointed, shared_folder
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -55,6 +55,13 @@ def emit(df: DataFrame, *triples: Column | tuple[Column, Column]) -> DataFrame:
     return rows.where("s is not null and o is not null").distinct()
 
 
+def emit_at(df: DataFrame, *triples: Column | tuple[Column, Column]) -> DataFrame:
+    """As ``emit``, where the node in the column ``at`` is the subject or the object of each triple: the rows are parted by it and not the triples, of which equal ones then meet in the same task anyhow."""
+    made = [F.when(t[0], t[1]) if isinstance(t, tuple) else t for t in triples]
+    rows = df.repartition("at").select("at", F.explode(F.array(*made)).alias("t")).where("t is not null").select("at", "t.*")
+    return rows.where("s is not null and o is not null").distinct().drop("at")
+
+
 def merge(*graphs: DataFrame) -> DataFrame:
     """The union of graphs as sets of triples."""
     out = graphs[0]
@@ -143,17 +150,37 @@ def gazetteer_graph(places: DataFrame, hosts: list[str] | None = None) -> DataFr
 
 
 def word_graph(matches: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The vocabulary and its words' occurrences in readings: ``matches`` has stone, reading_id, editor, script, text, token, word, mode, variant, ``vocabulary`` word, mode, variant. Readings without a match aren't emitted."""
-    word = node("word_", F.col("word"), F.col("mode"))
-    cls = F.when(F.col("mode") == "formula", DOMAIN + "FormulaWord").when(F.col("mode") == "element", DOMAIN + "NomenclatureWord").otherwise(DOMAIN + "Word")
-    entries = emit(vocabulary, a(word, CRM + "E55_Type"), uri(word, RDF + "type", cls), literal(word, RDFS + "label", F.col("word")), literal(word, DOMAIN + "wordClass", F.col("mode")), literal(word, SKOS + "altLabel", F.col("variant")))
-    stone, text_node, reading, agent = node("stone_", F.col("stone")), node("inscription_", F.col("stone")), node("reading_", F.col("stone"), F.col("reading_id")), node("agent_", F.col("reading_id"))
-    occ = node("word_occ_", F.col("stone"), F.col("reading_id"), F.col("word"), F.col("mode"))
-    found = emit(
-        matches, a(reading, DOMAIN + "Reading"), literal(reading, RDFS + "label", F.col("text")), (F.length("script") > 0, literal(reading, DOMAIN + "script", F.col("script"))), uri(text_node, DOMAIN + "identifiedAs", reading), uri(stone, DOMAIN + "carries", text_node), a(agent, PROV + "Agent"), literal(agent, RDFS + "label", F.col("editor")), uri(reading, PROV + "wasAttributedTo", agent),
-        uri(occ, RDF + "type", cls), literal(occ, RDFS + "label", F.col("token")), uri(occ, CRM + "P2_has_type", word), literal(occ, DOMAIN + "matchedVariant", F.col("variant")), literal(occ, DOMAIN + "matchMode", F.col("mode")), uri(stone, DOMAIN + "shows", occ),
+    """The vocabulary and its words' occurrences in readings: ``matches`` has stone, reading_id, editor, script, text, token, word, mode, variant, ``vocabulary`` word, mode, variant. Readings without a match aren't emitted.
+
+    The matches are written under the shared checkpoint folder when this is
+    called, as four parts of the graph are made of them. No two parts have a
+    triple in common: the subjects of each begin with prefixes of their own, but
+    for ``carries`` and ``shows`` of stones.
+    """
+    folder = shared_folder(matches.sparkSession, "words")
+    slugs = {"s": "stone", "r": "reading_id", "w": "word", "m": "mode"}
+    matches.select(*(text.slug(F.col(c)).alias(n) for n, c in slugs.items()), "editor", "script", "text", "token", "mode", "variant").write.parquet(folder)
+    found = matches.sparkSession.read.parquet(folder)
+
+    def made(prefix: str, *parts: str) -> Column:
+        return F.concat(F.lit(DATA + prefix), F.concat_ws("_", *parts))
+
+    at, mode, none = F.col("at"), F.col("mode"), F.lit(None).cast("string")
+    cls = F.when(mode == "formula", DOMAIN + "FormulaWord").when(mode == "element", DOMAIN + "NomenclatureWord").otherwise(DOMAIN + "Word")
+    occurrences = found.select(made("word_occ_", "s", "r", "w", "m").alias("at"), made("stone_", "s").alias("stone"), made("word_", "w", "m").alias("entry"), "token", "mode", "variant", none.alias("word"), F.lit(True).alias("occurs"))
+    entries = vocabulary.select(node("word_", F.col("word"), F.col("mode")).alias("at"), none.alias("stone"), none.alias("entry"), none.alias("token"), "mode", "variant", "word", F.lit(False).alias("occurs"))
+    occurs, listed = F.col("occurs"), ~F.col("occurs")
+    words = emit_at(
+        occurrences.unionByName(entries), uri(at, RDF + "type", cls), (occurs, literal(at, RDFS + "label", F.col("token"))), (occurs, uri(at, CRM + "P2_has_type", F.col("entry"))), (occurs, literal(at, DOMAIN + "matchedVariant", F.col("variant"))), (occurs, literal(at, DOMAIN + "matchMode", mode)), (occurs, uri(F.col("stone"), DOMAIN + "shows", at)),
+        (listed, a(at, CRM + "E55_Type")), (listed, literal(at, RDFS + "label", F.col("word"))), (listed, literal(at, DOMAIN + "wordClass", mode)), (listed, literal(at, SKOS + "altLabel", F.col("variant"))),
+    )
+    inscription, agent = made("inscription_", "s"), made("agent_", "r")
+    readings = emit_at(
+        found.select(made("reading_", "s", "r").alias("at"), inscription.alias("inscription"), agent.alias("agent"), "text", "script").distinct(), a(at, DOMAIN + "Reading"), literal(at, RDFS + "label", F.col("text")), (F.length("script") > 0, literal(at, DOMAIN + "script", F.col("script"))), uri(F.col("inscription"), DOMAIN + "identifiedAs", at), uri(at, PROV + "wasAttributedTo", F.col("agent")),
     )
-    return merge(entries, found)
+    stones = emit(found.select("s").distinct(), uri(made("stone_", "s"), DOMAIN + "carries", inscription))
+    agents = emit(found.select("r", "editor").distinct(), a(agent, PROV + "Agent"), literal(agent, RDFS + "label", F.col("editor")))
+    return words.unionByName(readings).unionByName(stones).unionByName(agents)
 
 
 def person_graph(persons: DataFrame) -> DataFrame:
